@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from docsight.runtime import table
 
-from . import packing, rank_fusion, splitting, tokens
+from . import near_duplicates, packing, rank_fusion, splitting, tokens
+
+
+def _edited_copies(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    """Three words and 0.5, as TESTDATA.md states this problem."""
+    return near_duplicates.NearDuplicates(table(spark, d, "chunks"), words=3, threshold=0.5, least=20)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _edited_copies(spark, d).pairs().toDF("chunk_id_a", "chunk_id_b")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _edited_copies(spark, d).groups().withColumnRenamed("id", "chunk_id")
 
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -43,4 +56,4 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p5_found, p5_pieces, p8_ids, p8_decoded, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p8_ids, p8_decoded, p9_containers)}
