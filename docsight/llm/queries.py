@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsight.runtime import table
 
-from . import near_duplicates, packing, rank_fusion, splitting, tokens
+from . import near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
 
 
 def _edited_copies(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
@@ -43,6 +43,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(big).filter("pieces > 1").select("chunk_id").distinct()
 
 
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors.NearestVectors(table(spark, d, "vectors")).neighbours().withColumnRenamed("id", "chunk_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector is a query here, as TESTDATA.md asks."""
+    near = p7_neighbours(spark, d).filter("similarity >= 0.92")
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -56,4 +66,4 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p8_ids, p8_decoded, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers)}
