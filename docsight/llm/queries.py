@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsight.runtime import table
 
-from . import near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
+from . import languages, near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
 
 
 def _edited_copies(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
@@ -66,4 +66,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers)}
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.identify(docs, languages.train(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a missing or wrong label or with passages in a second language, one row for each language."""
+    rows = p10_languages(spark, d).filter("main != 'und'")
+    return rows.filter("given IS NULL OR given != main OR passages > 0").select("doc_id", "lang").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers, p10_found, p10_languages)}
