@@ -3,8 +3,8 @@
 A text's fingerprint has ``slots`` min-hash values of its shingle set, one byte each. The slots are cut into
 blocks of ``width`` slots, twice and in different ways. By the pigeonhole principle two fingerprints that differ in fewer
 slots than one cut has blocks agree on a whole block, so a join on blocks meets them; the second cut makes
-pairs that differ in more slots meet almost always. Candidates are verified by the Hamming distance of one-bit
-sketches of the slots, then exactly on the texts.
+pairs that differ in more slots meet almost always. Candidates are verified by the Hamming distance of
+two-bit sketches of the slots, then exactly on the texts.
 
 Texts with the same shingle set form a class and only one representative of it takes part in the join,
 so exact copies cost nothing however many there are.
@@ -84,8 +84,9 @@ def _shingler(words: int) -> Shingler:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, least: int, slots: int) -> DataFrame:
-    """(id, cls, sketch, slots): class of the shingle set, 64 one-bit slots as a long, and one byte for each slot."""
+    """(id, cls, s0, s1, ..., slots): class of the shingle set, two bits of each slot in longs, and one byte of each slot."""
     kind = df.schema[id_col].dataType.simpleString()
+    longs = slots // 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, a = _shingler(words), _multipliers(slots)
@@ -100,20 +101,30 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, least: int
                 low = np.empty((len(starts), slots), np.uint8)
                 for k in range(slots):
                     low[:, k] = np.minimum.reduceat((x * a[k]) >> np.uint64(24), starts) & np.uint64(255)
-                sketch = np.packbits(low[:, :64] & 1, axis=1).view(np.int64)[:, 0]
+                sketch = np.packbits(np.concatenate([low & 1, (low >> 1) & 1], axis=1), axis=1).view(np.int64)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(slots), len(starts), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use)), pa.array(cls), pa.array(sketch), packed], ["id", "cls", "sketch", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use)), pa.array(cls), *(pa.array(sketch[:, k]) for k in range(longs)), packed], ["id", "cls", *(f"s{k}" for k in range(longs)), "slots"])
 
-    return df.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * least - 1)).select(id_col, text_col).mapInArrow(run, f"id {kind}, cls bigint, sketch bigint, slots binary")
+    sketch = ", ".join(f"s{k} bigint" for k in range(longs))
+    return df.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * least - 1)).select(id_col, text_col).mapInArrow(run, f"id {kind}, cls bigint, {sketch}, slots binary")
 
 
 def _blocks(slots: int, width: int) -> F.Column:
-    """Keys of all blocks: consecutive slots, then slots a fixed stride apart."""
+    """40-bit keys of all blocks: consecutive slots, then slots a fixed stride apart."""
     count = slots // width
     piece = lambda k, n: F.substring("slots", k + 1, n)
     near = [F.xxhash64(F.lit(b), piece(b * width, width)) for b in range(count)]
     far = [F.xxhash64(F.lit(count + b), *[piece(b + k * count, 1) for k in range(width)]) for b in range(count)]
-    return F.array(*near, *far)
+    return F.array(*[k.bitwiseAND(F.lit((1 << 40) - 1)) for k in near + far])
+
+
+def _only(df: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """The rows of ``df`` whose id may be among ``ids``: a bitmap of fixed size is broadcast, 2^(bits - 6) longs whatever the data."""
+    place = F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(place, 6).cast("int"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")
+    bitmap = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = df.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
+    return marked.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
 
 
 class NearDuplicates:
@@ -125,35 +136,40 @@ class NearDuplicates:
     are not read. An empty table gives no pair.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 20, slots: int = 112, width: int = 4):
-        if slots % width or slots < 64:
-            raise ValueError("slots must be a multiple of width, and 64 at least")
+    def __init__(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 20, slots: int = 96, width: int = 4):
+        if slots % width or slots % 32:
+            raise ValueError("slots must be a multiple of width and of 32")
         self.df, self.id_col, self.text_col, self.words, self.threshold, self.least, self.width, self.slots = df, id_col, text_col, words, threshold, least, width, slots
         self.signed = checkpoint(signatures(df, id_col, text_col, words, least, slots))
         self.members = self.signed.select("cls", "id").distinct()
-        self.classes = self.signed.groupBy("cls").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("slots").alias("slots"))
+        self.longs = [f"s{k}" for k in range(slots // 32)]
+
+    def classes(self, *columns: str) -> DataFrame:
+        """One row for each class: its smallest id and what all its members have in common."""
+        return self.signed.groupBy("cls").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in columns)).select("cls", *(columns or ["id"]))
 
     def candidates(self) -> DataFrame:
         """(a, b) of classes that share a block and whose sketches are near enough, a < b."""
-        posted = self.classes.select("cls", F.explode(_blocks(self.slots, self.width)).alias("block"))
+        posted = self.classes("slots").select("cls", F.explode(_blocks(self.slots, self.width)).alias("block"))
         a, b = posted.withColumnRenamed("cls", "a"), posted.withColumnRenamed("cls", "b")
         pairs = a.join(b, "block").filter("a < b").select("a", "b").distinct()
-        sketches = self.classes.select("cls", "sketch")
-        pairs = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-        # A slot's bit agrees with probability (1 + J) / 2; four standard deviations are allowed for.
-        p = (1 + self.threshold) / 2
-        far = round(64 * (1 - p) + 4 * (64 * p * (1 - p)) ** 0.5)
-        return pairs.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= far).select("a", "b")
+        sketches = self.classes(*self.longs)
+        pairs = pairs.join(sketches.toDF("a", *(f"a{k}" for k in self.longs)), "a").join(sketches.toDF("b", *(f"b{k}" for k in self.longs)), "b")
+        # A slot agrees with probability J, else each of its two bits with 1/2; 3.5 standard deviations are allowed for.
+        j = self.threshold
+        far = round(self.slots * (1 - j) + 3.5 * (self.slots * ((1 - j) * j + (1 - j) / 2)) ** 0.5)
+        distance = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in self.longs), F.lit(0))
+        return pairs.filter(distance <= far).select("a", "b")
 
     def links(self) -> DataFrame:
         """(a, b, similarity) of the classes whose texts are at least as similar as the threshold."""
-        texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
-        own = self.classes.select("cls", "id")
         pairs = checkpoint(self.candidates())
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        # An id may have come with several texts: only the one of the class counts, which the signature tells.
-        held = own.join(needed, "cls").join(texts, "id").select("cls", "text").filter("text is not null").dropDuplicates(["cls", "text"])
-        both = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
+        ids = self.classes()
+        pairs = checkpoint(pairs.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b"))
+        texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).filter(F.length("text") >= 2 * self.least - 1)
+        texts = _only(texts, pairs.select(F.explode(F.array("ia", "ib")).alias("id")))
+        # An id may have come with several texts; the best pair of them counts.
+        both = pairs.join(texts.toDF("ia", "ta"), "ia").join(texts.toDF("ib", "tb"), "ib")
         words, least, threshold = self.words, self.least, self.threshold
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +210,7 @@ class NearDuplicates:
         """
         links = checkpoint(self.links().select("a", "b"))
         edges = links.union(links.select("b", "a")).toDF("a", "b")
-        label = checkpoint(self.classes.select(F.col("cls").alias("a"), F.col("cls").alias("g")))
+        label = checkpoint(self.signed.select(F.col("cls").alias("a"), F.col("cls").alias("g")).distinct())
         for _ in range(rounds):
             near = edges.join(label.toDF("b", "g"), "b").groupBy("a").agg(F.min("g").alias("n"))
             step = label.join(near, "a", "left").select("a", F.least("g", F.coalesce("n", "g")).alias("g"), F.col("g").alias("was"))
