@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsight.runtime import table
 
-from . import languages, near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
+from . import languages, markup, near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
 
 
 def _edited_copies(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
@@ -33,6 +33,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.median_rank(table(spark, d, "results"), table(spark, d, "score_legs")).filter("position <= 5").select("query_id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.clean_documents(table(spark, d, "documents")).select("doc_id", F.explode("found").alias("f"))
+    return found.select("doc_id", "f.markup", "f.element").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_documents(table(spark, d, "documents")).select("doc_id", "text")
+
+
+def p3_page_difference(spark: SparkSession, d: str) -> DataFrame:
+    return markup.page_difference(table(spark, d, "documents"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
@@ -77,4 +90,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("given IS NULL OR given != main OR passages > 0").select("doc_id", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p3_found, p3_clean, p3_page_difference, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers, p10_found, p10_languages)}
