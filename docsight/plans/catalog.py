@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsight.operators import units
+from docsight.runtime import table
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = units.text_quantities(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), "base_unit", "base_value")
+    entities = units.property_quantities(table(spark, d, "entities"), "entity_id", "properties").select(F.lit("entity").alias("record_kind"), F.col("id").cast("string").alias("record_id"), "base_unit", "base_value")
+    return chunks.union(entities)
+
+
+QUERIES: dict = {"p6_found": p6_found}
 ORACLE: dict = {}
