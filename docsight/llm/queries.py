@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsight.runtime import table
 
-from . import languages, markup, near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
+from . import languages, markup, names, near_duplicates, nearest_vectors, packing, rank_fusion, splitting, tokens
 
 
 def _edited_copies(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
@@ -46,6 +46,18 @@ def p3_page_difference(spark: SparkSession, d: str) -> DataFrame:
     return markup.page_difference(table(spark, d, "documents"))
 
 
+def _typed_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of companies and persons; where the type is missing the node's id tells it."""
+    kind = F.coalesce("entity_type", F.substring_index("node_id", "::", 1))
+    entities = table(spark, d, "entities").select(F.lit("entity").alias("record_kind"), F.col("entity_id").cast("string").alias("record_id"), kind.alias("kind"), "name")
+    filings = table(spark, d, "filings").select(F.lit("filing").alias("record_kind"), F.col("filing_id").cast("string").alias("record_id"), F.lit("company").alias("kind"), F.col("company_name").alias("name"))
+    return entities.union(filings)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_records(_typed_names(spark, d), table(spark, d, "registry"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
@@ -90,4 +102,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("given IS NULL OR given != main OR passages > 0").select("doc_id", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p3_found, p3_clean, p3_page_difference, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_ranking, p3_found, p3_clean, p3_page_difference, p4_found, p5_found, p5_pieces, p7_found, p7_neighbours, p8_ids, p8_decoded, p9_containers, p10_found, p10_languages)}
