@@ -1,19 +1,489 @@
-"""All queries of the core by name, with their SQL."""
+"""All queries of the core by name. Each takes (spark, directory) and covers its whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsight.operators import units
-from docsight.runtime import table
+from docsight.functions import textops as t
+from docsight.functions import vectors as v
+from docsight.operators import chunking, dense, embedding, fusion, generate, graph, guardrails, metrics, retrieve, sections, sparse, units
+from docsight.runtime import checkpoint, table
+from docsight.sources.tables import latest
 
+from .oracle import ORACLE
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "chunks"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "queries").select("query_id", "query")
+
+
+def _hashed_chunks(corpus: DataFrame) -> DataFrame:
+    return v.hashed_vectors(corpus, "chunk_id", "text")
+
+
+def _hashed_questions(questions: DataFrame) -> DataFrame:
+    return questions.join(v.hashed_vectors(questions, "query_id", "query"), "query_id")
+
+
+def _tens(vectors: DataFrame) -> DataFrame:
+    """The query set of vector searches: every row whose id is divisible by 50, against all rows."""
+    return vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _shown(found: DataFrame, digits: int = 6) -> DataFrame:
+    return found.withColumn("score", F.round("score", digits))
+
+
+# Cleaning, headers, sections
+
+
+@query
+def clean_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.clean(F.col("text")).alias("text"))
+
+
+@query
+def filing_header(spark, d):
+    lines = [F.concat(F.lit(name), F.col(c)) for name, c in (("COMPANY CONFORMED NAME: ", "company_name"), ("CENTRAL INDEX KEY: ", "cik"), ("FILED AS OF DATE: ", "digits"), ("ACCESSION NUMBER: ", "accession_number"))]
+    rows = table(spark, d, "filings").withColumn("digits", F.regexp_replace("filing_date", "[^0-9]", "")).select("filing_id", F.concat_ws("\n", *lines).alias("text")).distinct()
+    return rows.select("filing_id", *[c.alias(n) for n, c in t.header(F.col("text")).items()])
+
+
+def _filing_texts(spark, d):
+    # A filing has a few sections.
+    docs = table(spark, d, "documents").filter("accession_number != '' AND text IS NOT NULL")
+    return docs.groupBy("accession_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+@query
+def filing_sections(spark, d):
+    rows = sections.parse_sections(_filing_texts(spark, d))
+    return rows.select("accession_number", "section_no", "section", F.length("section_text").alias("n_chars"), F.md5("section_text").alias("digest"))
+
+
+@query
+def filing_metadata_documents(spark, d):
+    """Whole filings loaded as documents: cleaned, cut into sections, with header fields."""
+    rows = sections.load_documents(_filing_texts(spark, d).withColumnRenamed("accession_number", "source_file"))
+    return rows.select("source_file", "section", "section_no", "filing_type", F.length("text").alias("n_chars"))
+
+
+# Tokens, sentences, numbers
+
+
+@query
+def token_stats(spark, d):
+    w = t.tokens(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"), F.coalesce(t.token_count(F.col("text")), F.lit(0)).alias("n_counted"))
+
+
+@query
+def sentence_stats(spark, d):
+    s = t.sentences(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query
+def numbers_extract(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(t.numbers(F.col("text"))).alias("pos", "number"))
+    return rows.withColumn("value", t.number_value(F.col("number")))
+
+
+@query
+def term_dictionary(spark, d):
+    index = sparse.build_index(_corpus(spark, d))
+    return index.dictionary.select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+# Chunking
+
+
+@query
+def hard_windows(spark, d):
+    rows = chunking.hard_windows(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "window_no", "start_char", F.md5("window").alias("digest"))
+
+
+def _chunks(spark, d, strategy):
+    return chunking.chunk_documents(table(spark, d, "documents"), strategy=strategy)
+
+
+@query
+def recursive_chunks(spark, d):
+    return _chunks(spark, d, "recursive")
+
+
+@query
+def section_chunks(spark, d):
+    return _chunks(spark, d, "section_aware")
+
+
+@query
+def semantic_chunks(spark, d):
+    return _chunks(spark, d, "semantic")
+
+
+# Stored tables, embeddings
+
+
+@query
+def latest_chunks(spark, d):
+    return _corpus(spark, d).select("chunk_id", "section", "parent_section", "chunk_index", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query
+def index_stats(spark, d):
+    rows = _corpus(spark, d)
+    return rows.groupBy("filing_type").agg(F.count("*").alias("chunks"), F.countDistinct("cik").alias("ciks"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+
+
+@query
+def embed_cache_misses(spark, d):
+    """Texts of chunks that a cache filled from those of filing type 10-K lacks."""
+    rows = _corpus(spark, d)
+    cached = rows.filter("filing_type = '10-K'").select(embedding.key(F.col("text"), "hashed", 64).alias("key")).distinct()
+    return embedding.misses(rows, cached, "text").select(F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
+@query
+def hash_embed(spark, d):
+    rows = v.hashed_vectors(table(spark, d, "documents"), "doc_id", "text")
+    e = F.col("embedding")
+    check = F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size(F.filter(e, lambda x: x != 0)).alias("used"), F.round(F.array_max(e), 6).alias("most"), F.round(check, 6).alias("checksum"))
+
+
+# Sparse retrieval
+
+
+@query
+def bm25_topk(spark, d):
+    index = sparse.build_index(_corpus(spark, d))
+    found = sparse.top(sparse.scores(index, _questions(spark, d)), 10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "rank")
+
+
+@query
+def bm25_filtered(spark, d):
+    """The filter acts behind the corpus statistics and the normalisation."""
+    rows = _corpus(spark, d)
+    allowed = rows.filter(dense.where({"filing_type": "10-K", "section": "Risk Factors"}, rows.columns)).select("chunk_id")
+    return _shown(sparse.search(sparse.build_index(rows), _questions(spark, d), 5, allowed))
+
+
+@query
+def bm25_multi_query(spark, d):
+    index = sparse.build_index(_corpus(spark, d))
+    return _shown(retrieve.multi_sparse(index, retrieve.expand(_questions(spark, d)), 5))
+
+
+@query
+def query_variants(spark, d):
+    return retrieve.expand(_questions(spark, d))
+
+
+# Dense retrieval and fusion
+
+
+@query
+def dense_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return _shown(dense.search(e, _tens(e), 10, id_col="vec_id"))
+
+
+@query
+def dense_threshold(spark, d):
+    e = table(spark, d, "embeddings")
+    return _shown(dense.search(e, _tens(e), 5, 0.3, id_col="vec_id"))
+
+
+@query
+def dense_filtered(spark, d):
+    e = table(spark, d, "embeddings")
+    return _shown(dense.search(e.filter(dense.where({"label": 1}, e.columns)), _tens(e), 5, id_col="vec_id"))
+
+
+@query
+def dense_questions(spark, d):
+    rows = _corpus(spark, d)
+    return _shown(dense.search(_hashed_chunks(rows), _hashed_questions(_questions(spark, d)), 5))
+
+
+def _hybrid(spark, d, **weights):
+    rows = checkpoint(_corpus(spark, d).select("chunk_id", "text"))
+    return _shown(retrieve.hybrid(_hashed_chunks(rows), sparse.build_index(rows), _hashed_questions(_questions(spark, d)), **weights), 9)
+
+
+@query
+def rrf_hybrid(spark, d):
+    return _hybrid(spark, d)
+
+
+@query
+def rrf_weighted(spark, d):
+    return _hybrid(spark, d, k=10, dense_weight=0.2, sparse_weight=0.8, threshold=None)
+
+
+@query
+def rrf_recorded_legs(spark, d):
+    """Fusion of the recorded legs by their recorded positions."""
+    legs = table(spark, d, "results").filter("rank IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "chunk_id", "leg").agg(F.min("rank").alias("rank"))
+    return _shown(fusion.fuse([(legs.filter("leg = 'dense'"), 0.6), (legs.filter("leg = 'sparse'"), 0.4)], 5), 9)
+
+
+@query
+def multi_query_dense(spark, d):
+    rows = _hashed_chunks(_corpus(spark, d))
+    asked = retrieve.expand(_questions(spark, d)).withColumn("kid", F.concat_ws("#", "query_id", "variant_no"))
+    asked = asked.join(v.hashed_vectors(asked, "kid", "query"), "kid")
+    return _shown(retrieve.multi_dense(rows, asked.select("query_id", "variant_no", "embedding"), 5))
+
+
+@query
+def rerank_cosine(spark, d):
+    """The recorded candidates again, by the hashed vectors of query and chunk."""
+    found = table(spark, d, "results").select("query_id", "chunk_id").distinct()
+    return _shown(retrieve.rerank(found, _hashed_chunks(_corpus(spark, d)), _hashed_questions(_questions(spark, d)), 5))
+
+
+@query
+def mmr_select(spark, d):
+    e = table(spark, d, "embeddings").withColumn("chunk_id", F.col("vec_id").cast("string"))
+    found = dense.search(e, _tens(e), fusion.fetch_depth(5))
+    return _shown(retrieve.diversify(found, e, _tens(e), 5, 0.3))
+
+
+@query
+def strategy_results(spark, d):
+    """Each question by the strategy that it names, the ensemble where it names none."""
+    rows = checkpoint(_corpus(spark, d).select("chunk_id", "text"))
+    index = sparse.build_index(rows)
+    stored = checkpoint(_hashed_chunks(rows))
+    asked = table(spark, d, "queries")
+    embed = lambda x: v.hashed_vectors(x, x.columns[0], x.columns[1])
+    known = F.coalesce("strategy", F.lit("ensemble"))
+    known = F.when(known.isin("dense", "sparse", "mmr"), known).otherwise("ensemble")
+    parts = [retrieve.retrieve(stored, index, asked.filter(known == s).select("query_id", "query"), embed, 5, s) for s in ("dense", "sparse", "mmr", "ensemble")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _shown(out)
+
+
+@query
+def sentence_compress(spark, d):
+    top = table(spark, d, "results").filter("leg = 'rerank'").groupBy("query_id").agg(F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"))
+    found = top.join(_corpus(spark, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
+    return retrieve.compress(found, _questions(spark, d))
+
+
+# Retrieval metrics: the sparse leg as recorded against the best five of the pair model
+
+
+def _judged(spark, d):
+    rows = table(spark, d, "results").filter("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "leg", "chunk_id").agg(F.max("score").alias("score"))
+    ranked = sparse.top(rows, 50, ("query_id", "leg"))
+    return _questions(spark, d), ranked.filter("leg = 'sparse'"), ranked.filter("leg = 'rerank' AND rank <= 5")
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query
+def ir_metrics(spark, d):
+    return _rounded(metrics.retrieval_metrics(*_judged(spark, d), 5), *metrics.RETRIEVAL)
+
+
+@query
+def ir_averages(spark, d):
+    return _rounded(metrics.averages(metrics.retrieval_metrics(*_judged(spark, d), 5)), *[f"avg_{c}" for c in metrics.RETRIEVAL])
+
+
+# Knowledge graph
+
+
+def _graph(spark, d):
+    docs = table(spark, d, "documents")
+    nodes, edges = graph.build_graph(graph.extract_entities(docs, source_col="source_file"), graph.extract_relations(docs))
+    return nodes, edges
+
+
+@query
+def kg_entities(spark, d):
+    rows = graph.extract_entities(table(spark, d, "documents"))
+    return rows.groupBy("doc_id", "entity_type", "name").agg(F.count("*").alias("n"))
+
+
+@query
+def kg_relations(spark, d):
+    rows = graph.extract_relations(table(spark, d, "documents"))
+    return rows.groupBy("doc_id", "src", "dst", "relation_type").agg(F.count("*").alias("n"))
+
+
+@query
+def kg_nodes(spark, d):
+    return _graph(spark, d)[0]
+
+
+@query
+def kg_edges(spark, d):
+    return _graph(spark, d)[1].select("src", "dst", "relation_type", "source_text")
+
+
+@query
+def kg_degree(spark, d):
+    return graph.degrees(*_graph(spark, d))
+
+
+def _seeds(spark, d):
+    """The query set of walks: companies of the filings whose id is divisible by 50."""
+    return table(spark, d, "filings").filter("filing_id % 50 = 0 AND company_name != ''").select(F.concat(F.lit("company::"), "company_name").alias("node_id")).distinct()
+
+
+@query
+def kg_related(spark, d):
+    """Two steps along competitors; the hubs that all companies report to are another relation."""
+    found = graph.related(_seeds(spark, d), *_graph(spark, d), 2, "competes_with")
+    return found.select("seed", "node_id", "distance")
+
+
+@query
+def kg_context(spark, d):
+    return graph.context(graph.related(_seeds(spark, d), *_graph(spark, d), 1))
+
+
+@query
+def kg_summary(spark, d):
+    return graph.summary(*_graph(spark, d), _seeds(spark, d)).groupBy("node_id", "direction", "relation_type").agg(F.count("*").alias("n"), F.min("other_name").alias("first"), F.max("other_name").alias("last"))
+
+
+@query
+def kg_stored_degree(spark, d):
+    """Degrees in the graph that the entities table gives: each mention is tied to its filing."""
+    e = table(spark, d, "entities").filter("source_document IS NOT NULL")
+    edges = e.select(F.concat(F.lit("filing::"), "source_document").alias("src"), F.col("node_id").alias("dst")).distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return graph.degrees(nodes, edges)
+
+
+# Guardrails and generation metrics: the pair model's best chunk and the question as the answer, the dense leg's best five as sources
+
+
+def _answers(spark, d):
+    texts = _corpus(spark, d).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = table(spark, d, "results").filter("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "leg", "chunk_id").agg(F.max("score").alias("score"))
+    ranked = sparse.top(rows.filter("leg IN ('dense', 'rerank')"), 5, ("query_id", "leg")).join(texts, "chunk_id")
+    sources = ranked.filter("leg = 'dense'").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("sources"))
+    best = ranked.filter("leg = 'rerank' AND rank = 1").select("query_id", F.col("text").alias("best"))
+    rows = _questions(spark, d).join(best, "query_id").join(sources, "query_id", "left")
+    return rows.select(F.col("query_id").alias("answer_id"), "query", F.concat_ws(" ", "best", "query").alias("answer"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
+@query
+def guard_factual(spark, d):
+    return guardrails.factual(_answers(spark, d)).select("answer_id", "severity", "message", "span")
+
+
+@query
+def guard_hallucination(spark, d):
+    return guardrails.hallucination(_answers(spark, d)).select("answer_id", "severity", "message", "span")
+
+
+@query
+def guard_numeric(spark, d):
+    return guardrails.numerical(_answers(spark, d)).select("answer_id", "severity", "message", "span")
+
+
+@query
+def guard_format(spark, d):
+    return guardrails.form(_answers(spark, d)).select("answer_id", "severity", "message")
+
+
+@query
+def guard_confidence(spark, d):
+    answers = checkpoint(_answers(spark, d))
+    return guardrails.report(answers, guardrails.findings(answers)).select("answer_id", F.round("confidence", 6).alias("confidence"), "passed", "findings", "high")
+
+
+@query
+def faithfulness(spark, d):
+    return _rounded(metrics.faithfulness(_answers(spark, d)), "faithfulness")
+
+
+@query
+def context_relevancy(spark, d):
+    return _rounded(metrics.context_relevancy(_answers(spark, d)), "context_relevancy")
+
+
+@query
+def numerical_accuracy(spark, d):
+    return _rounded(metrics.numerical_accuracy(_answers(spark, d)), "numerical_accuracy")
+
+
+@query
+def answer_relevancy(spark, d):
+    a = _answers(spark, d)
+    pairs = v.hashed_vectors(a, "answer_id", "query").toDF("answer_id", "query_vector").join(v.hashed_vectors(a.select("answer_id", F.substring("answer", 1, 500).alias("text")), "answer_id", "text").toDF("answer_id", "answer_vector"), "answer_id")
+    return _rounded(metrics.answer_relevancy(pairs), "answer_relevancy")
+
+
+# Prompts and answers
+
+
+def _retrieved(spark, d):
+    rows = checkpoint(_corpus(spark, d).select("chunk_id", "text", "section", "company_name", "filing_date"))
+    found = sparse.search(sparse.build_index(rows), _questions(spark, d), 5)
+    return _questions(spark, d), found.join(rows, "chunk_id")
+
+
+@query
+def prompt_sources(spark, d):
+    asked, found = _retrieved(spark, d)
+    made = generate.prompts(asked, generate.format_sources(found))
+    return made.select("query_id", F.length("sources").alias("n_chars"), F.md5("sources").alias("digest"), F.md5("user_prompt").alias("prompt_digest"))
+
+
+@query
+def generated_answers(spark, d):
+    asked, found = _retrieved(spark, d)
+    return generate.generate(generate.prompts(asked, generate.format_sources(found))).select("query_id", "answer", "model", "has_sources")
+
+
+@query
+def rag_answers(spark, d):
+    """From question to checked answer: hybrid retrieval, prompt, extractive answer, guardrails."""
+    rows = checkpoint(_corpus(spark, d).select("chunk_id", "text", "section", "company_name", "filing_date"))
+    asked = _questions(spark, d)
+    found = retrieve.hybrid(_hashed_chunks(rows), sparse.build_index(rows), _hashed_questions(asked)).join(rows, "chunk_id")
+    answers = checkpoint(generate.generate(generate.prompts(asked, generate.format_sources(found))))
+    checked = answers.filter("has_sources").select(F.col("query_id").alias("answer_id"), "answer", F.col("texts").alias("sources"))
+    notes = guardrails.report(checked, guardrails.findings(checked)).withColumnRenamed("answer_id", "query_id")
+    return answers.select("query_id", "query", "answer", "has_sources").join(notes.select("query_id", "confidence", "passed", "findings"), "query_id", "left")
+
+
+# Quantities
+
+
+@query
+def p6_found(spark, d):
     chunks = units.text_quantities(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), "base_unit", "base_value")
     entities = units.property_quantities(table(spark, d, "entities"), "entity_id", "properties").select(F.lit("entity").alias("record_kind"), F.col("id").cast("string").alias("record_id"), "base_unit", "base_value")
     return chunks.union(entities)
 
 
-QUERIES: dict = {"p6_found": p6_found}
-ORACLE: dict = {}
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return rrf_hybrid(spark, d)
