@@ -127,6 +127,7 @@ def compress(results: DataFrame, queries: DataFrame, keep: int = 3, dim: int = 6
     """``results`` (query_id, chunk_id, text, ...) with the ``keep`` sentences nearest to the query, in their order, joined by a space. Texts of ``keep`` sentences or fewer stay unchanged. Null texts stay null."""
     rows = results.join(queries.select("query_id", F.col("query").alias("__q")).dropDuplicates(["query_id"]), "query_id")
     kinds = {c: results.schema[c].dataType.simpleString() for c in results.columns}
+    columns = list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Hasher(dim)
@@ -140,7 +141,7 @@ def compress(results: DataFrame, queries: DataFrame, keep: int = 3, dim: int = 6
                 near = np.round(embed(s) @ embed([q or ""])[0], 12)
                 best = sorted(np.argsort(-near, kind="stable")[:keep])
                 new.append(" ".join(s[j] for j in best))
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else b.column(b.schema.get_field_index(c)) for c in results.columns], results.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else b.column(b.schema.get_field_index(c)) for c in columns], columns)
 
     rows = rows.withColumn("__s", sentences(F.col(text_col)))
     return rows.select(*results.columns, "__s", "__q").mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
