@@ -151,7 +151,10 @@ class Reader:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Classifiers from ``sample`` labelled rows at most, chosen by a hash of their id; whole texts are used."""
     known = F.lower(F.trim(F.regexp_extract(F.col(lang_col), r"^\s*([^-_ (]+)", 1))).isin(list(_KNOWN))
-    rows = df.filter(known & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text_col))).limit(sample).collect()
+    usable = df.filter(known & F.col(text_col).isNotNull())
+    # Ids are chosen first, so that tasks never send more than ids and hashes of candidates to the driver.
+    picked = usable.select(F.col(id_col), F.xxhash64(F.col(id_col)).alias("h")).distinct().orderBy("h").limit(sample).select(id_col)
+    rows = usable.join(F.broadcast(picked), id_col, "left_semi").select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).collect()
     examples: list[tuple[int, list[str]]] = []
     for r in rows:
         label = canonical(r["l"])

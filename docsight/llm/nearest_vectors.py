@@ -169,7 +169,7 @@ class NearestVectors:
         self.members = clean.select(F.xxhash64("v").alias("cls"), "id", "v")
         classes = checkpoint(self.members.groupBy("cls").agg(F.min("id").alias("id"), F.first("v").alias("v")))
         n = classes.count()
-        train = _unit(np.array([r["v"] for r in classes.orderBy(F.xxhash64("cls")).limit(sample).select("v").collect()], np.float32).reshape(-1, dim))
+        train = _unit(np.array([r["v"] for r in classes.join(F.broadcast(classes.select("cls").orderBy(F.xxhash64("cls")).limit(sample)), "cls", "left_semi").orderBy("cls").select("v").collect()], np.float32).reshape(-1, dim))
         count = max(1, min(cells, n // block, len(train) // 8))
         self.spark = df.sparkSession
         if not n:
