@@ -238,9 +238,15 @@ def link_names(names: DataFrame, registry: DataFrame, pivots: int = PIVOTS, samp
     reaches = F.array(*[F.lit(reach[k]) for k in range(len(chosen))])
     cells = F.filter(F.transform(distances, lambda d, k: F.struct(d.alias("qd"), k.alias("cell"))), lambda x: (F.element_at(reaches, x["cell"] + 1) >= 0) & (x["qd"] <= F.element_at(reaches, x["cell"] + 1) + F.col("radius")))
     asked = typed.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).select("*", F.explode(cells).alias("c")).select("kind", "name", "space", "salt", F.col("key").alias("q"), F.col("mark").alias("qmark"), "radius", "c.qd", "c.cell")
-    targets = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = asked.join(targets, ["space", "cell", "salt"]).filter((F.abs(F.col("qd") - F.col("d")) <= F.col("radius")) & (F.abs(F.length("q") - F.length("key")) <= F.col("radius")))
-    near = near.withColumn("distance", F.levenshtein("q", "key", 4)).filter((F.col("distance") >= 0) & (F.col("distance") <= F.col("radius")))
+    # Lengths of keys within the radius differ by it at most. The partitions are fixed in number, as the work here is in comparing, not in bytes.
+    asked = asked.withColumn("size", F.explode(F.sequence(F.length("q") - F.col("radius"), F.length("q") + F.col("radius"))))
+    targets = placed.select("ref_id", "space", "key", "weight", "mark", "d", "cell", F.length("key").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    where = ["space", "cell", "size", "salt"]
+    spark = names.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    near = asked.repartition(parts, *where).join(targets.repartition(parts, *where), where).filter(F.abs(F.col("qd") - F.col("d")) <= F.col("radius"))
+    # Beyond 4 the function gives -1, here 98.
+    near = near.filter(F.pmod(F.levenshtein("q", "key", 4), F.lit(99)) <= F.col("radius")).withColumn("distance", F.levenshtein("q", "key", 4))
     person = F.col("kind") == "person"
     middle = (F.length("mark") > 1) & (F.length("qmark") > 1)
     agrees = F.when(person, (~middle | (F.substring("mark", 2, 1) == F.substring("qmark", 2, 1))) & ((F.col("space") != "lastname") | (F.substring("mark", 1, 1) == F.substring("qmark", 1, 1)))).otherwise((F.col("qmark") == "") | (F.col("mark") == F.col("qmark")))
