@@ -44,13 +44,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float
     rows of an id count once. Metadata filters belong on ``vectors``. Scores are rounded to ``digits`` before they are compared.
     """
     qkind, ikind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    n = vectors.count()
-    buckets = max(1, -(-n // bucket_rows))
-    nq = queries.count()
-    blocks = max(1, -(-nq // block))
-    v = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("vid")).agg(F.first(F.col(vector_col).cast("array<double>")).alias("v"))
+    vectors = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    queries = queries.filter(F.col(query_vector_col).isNotNull())
+    n, nq = vectors.count(), queries.count()
+    if not n or not nq:
+        return queries.sparkSession.createDataFrame([], f"`{query_col}` {qkind}, `{id_col}` {ikind}, score double, rank int")
+    buckets, blocks = -(-n // bucket_rows), -(-nq // block)
+    v = vectors.groupBy(F.col(id_col).alias("vid")).agg(F.first(F.col(vector_col).cast("array<double>")).alias("v"))
     v = v.select("vid", "v", F.pmod(F.xxhash64("vid"), F.lit(buckets)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vq"))
-    q = queries.filter(F.col(query_vector_col).isNotNull()).select(F.col(query_col).alias("qid"), F.col(query_vector_col).cast("array<double>").alias("q"))
+    q = queries.select(F.col(query_col).alias("qid"), F.col(query_vector_col).cast("array<double>").alias("q"))
     q = q.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("qv"))
 
     def unit(left: pa.Table, right: pa.Table) -> pa.Table:

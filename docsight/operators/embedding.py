@@ -39,11 +39,11 @@ def embed(df: DataFrame, id_col: str, text_col: str, backend: str = "hashed", di
                 part = b.slice(at, BATCH)
                 m = np.asarray(model([t or "" for t in part.column(1).to_pylist()]), np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "embedding"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["__key", "embedding"])
 
-    keyed = df.select(id_col, key(F.col(text_col), backend, dim).alias("key"), F.col(text_col).alias("__t"))
-    texts = keyed.groupBy("key").agg(F.first("__t").alias("t"))
-    return keyed.select(id_col, "key").join(texts.mapInArrow(run, "key string, embedding array<float>"), "key").select(id_col, "embedding")
+    keyed = df.select(id_col, key(F.col(text_col), backend, dim).alias("__key"), F.col(text_col).alias("__t"))
+    texts = keyed.groupBy("__key").agg(F.first("__t").alias("t"))
+    return keyed.select(id_col, "__key").join(texts.mapInArrow(run, "__key string, embedding array<float>"), "__key").select(id_col, "embedding")
 
 
 def key(text, backend: str, dim: int):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docsight.config import EngineConfig
 from docsight.operators import chunking, dense, embedding, generate, graph, guardrails, metrics, retrieve, sparse
+from docsight.runtime import settle
 from docsight.sources.tables import Store
 
 
@@ -16,6 +17,7 @@ class Engine:
     """Ties the operators together; all state is in tables."""
 
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig | None = None, name: str = "filings"):
+        settle(spark)
         self.spark, self.config, self.folder = spark, config or EngineConfig(), folder
         self.store = Store(spark, folder, name)
 
@@ -34,6 +36,9 @@ class Engine:
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         rows = self.store.rows()
+        for c in ("source_file", "company_name"):
+            if c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(""))
         return graph.build_graph(graph.extract_entities(rows, "chunk_id", source_col="source_file"), graph.extract_relations(rows, "chunk_id", section_col="parent_section"), "chunk_id")
 
     def retrieve(self, queries: DataFrame, filters: dict | None = None, strategy: str | None = None, rewrite: Callable[[str], str] | None = None, reranked: bool = False) -> DataFrame:

@@ -24,8 +24,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Unions here do not pass on their children's partitioning: adaptive execution may coalesce the children
+    differently and the query then fails with "Can't zip RDDs with unequal numbers of partitions" (seen with Spark 4.1.2)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return settle(spark).read.parquet(f"{directory}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -34,7 +41,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is ``spark.checkpoint.dir`` of the session. Only where none is set, as in tests on
     one machine, a temporary folder is used; with executors on other machines that would not be readable.
     """
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", "")
