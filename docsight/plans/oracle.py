@@ -161,7 +161,7 @@ edges AS (SELECT src, dst, arg_max(relation_type, doc_id * 10000000.0 + kind_no
 nodes AS (SELECT node_id, name, entity_type FROM named UNION ALL SELECT node_id, NULL, NULL FROM (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges) WHERE node_id NOT IN (SELECT node_id FROM named)),
 seeds AS (SELECT DISTINCT 'company::' || company_name AS node_id FROM filings WHERE filing_id % 50 = 0 AND company_name != '')"""
 _JUDGED = """
-best AS (SELECT query_id, leg, chunk_id, max(score) AS score FROM results WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+best AS (SELECT query_id, leg, chunk_id, max(score) AS score FROM results WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS rank FROM best WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL)"""
 _IR = f"""WITH {_JUDGED},
 run AS (SELECT * FROM ranked WHERE leg = 'sparse' AND rank <= 50), truth AS (SELECT query_id, chunk_id FROM ranked WHERE leg = 'rerank' AND rank <= 5),
@@ -221,7 +221,7 @@ SELECT doc_id, window_no, start_char, md5(piece) AS digest FROM w WHERE piece !=
     "dense_questions": f"WITH {_CORPUS}, {_hashed('hc', 'corpus', 'chunk_id', 'text')}, {_hashed('hq', 'queries', 'query_id', 'query')}, s AS ({_cosines('hq', 'query_id', 'hc', 'chunk_id')}), placed AS (SELECT query_id, chunk_id, score, {_RANK.format(id='chunk_id')} FROM s) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 5",
     "rrf_hybrid": _hybrid(5, 15, 0.6, 0.4, "AND score >= 0.3"),
     "rrf_weighted": _hybrid(10, 30, 0.2, 0.8, ""),
-    "rrf_recorded_legs": f"WITH legs AS (SELECT query_id, chunk_id, leg, min(rank) AS rank FROM results WHERE rank IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL), fused AS (SELECT query_id, chunk_id, round(sum(CASE leg WHEN 'dense' THEN 0.6 ELSE 0.4 END::DOUBLE / (60 + rank)), 12) AS score FROM legs WHERE leg IN ('dense', 'sparse') GROUP BY ALL), placed AS (SELECT query_id, chunk_id, round(score, 9) AS score, {_RANK.format(id='chunk_id')} FROM fused) SELECT * FROM placed WHERE rank <= 5",
+    "rrf_recorded_legs": f"WITH legs AS (SELECT query_id, chunk_id, leg, min(rank) AS rank FROM results WHERE rank IS NOT NULL AND score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL), fused AS (SELECT query_id, chunk_id, round(sum(CASE leg WHEN 'dense' THEN 0.6 ELSE 0.4 END::DOUBLE / (60 + rank)), 12) AS score FROM legs WHERE leg IN ('dense', 'sparse') GROUP BY ALL), placed AS (SELECT query_id, chunk_id, round(score, 9) AS score, {_RANK.format(id='chunk_id')} FROM fused) SELECT * FROM placed WHERE rank <= 5",
     "multi_query_dense": f"WITH {_CORPUS}, {_VARIANTS}, v2 AS (SELECT query_id * 10 + variant_no AS kid, query FROM variants), {_hashed('hc', 'corpus', 'chunk_id', 'text')}, {_hashed('hq', 'v2', 'kid', 'query')}, s AS ({_cosines('hq', 'kid', 'hc', 'chunk_id')}), ranked AS (SELECT kid // 10 AS query_id, kid % 10 AS variant_no, chunk_id, score, row_number() OVER (PARTITION BY kid ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5), {_FIRST}, placed AS (SELECT query_id, chunk_id, score, {_RANK.format(id='chunk_id')} FROM first) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 5",
     "rerank_cosine": f"WITH {_CORPUS}, {_hashed('hc', 'corpus', 'chunk_id', 'text')}, {_hashed('hq', 'queries', 'query_id', 'query')}, want AS (SELECT DISTINCT query_id, chunk_id FROM results WHERE query_id IN (SELECT query_id FROM queries) AND chunk_id IN (SELECT chunk_id FROM corpus)), c AS ({_cosines('hq', 'query_id', 'hc', 'chunk_id', 'want')}), s AS (SELECT query_id, chunk_id, coalesce(score, 0) AS score FROM want LEFT JOIN c USING (query_id, chunk_id)), placed AS (SELECT query_id, chunk_id, score, {_RANK.format(id='chunk_id')} FROM s) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 5",
     "ir_metrics": _IR + " SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS reciprocal_rank, round(g, 6) AS ndcg FROM m",
