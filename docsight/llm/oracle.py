@@ -6,7 +6,7 @@ _RANKS = """
 WITH valid AS (
   SELECT query_id, leg, chunk_id, min(CASE WHEN l.higher_is_better THEN -score ELSE score END) AS cost
   FROM results r JOIN score_legs l USING (leg)
-  WHERE score IS NOT NULL AND NOT isnan(score) AND chunk_id IS NOT NULL AND query_id IS NOT NULL
+  WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') AND chunk_id IS NOT NULL AND query_id IS NOT NULL
   GROUP BY ALL
 ), ranked AS (
   SELECT query_id, leg, chunk_id, rank() OVER (PARTITION BY query_id, leg ORDER BY cost) AS rk FROM valid
