@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,17 @@ def where(filters: dict | None, columns: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
 
+def _by_length(rows: pa.Table, column: str, id_column: str):
+    """(length, matrix, ids) of the vectors of each length."""
+    lists, ids = rows[column].combine_chunks(), np.array(rows[id_column].to_pylist(), object)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        own = np.flatnonzero(lengths == n)
+        yield int(n), lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), int(n)), ids[own]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, id_col: str = "chunk_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector_col: str = "embedding", block: int = 2_048, bucket_rows: int = 65_536, digits: int = 9) -> DataFrame:
     """(query, id, score, rank): the ``k`` most cosine-similar vectors of each query, best first, equal scores by id.
 
@@ -57,22 +69,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float
 
     def unit(left: pa.Table, right: pa.Table) -> pa.Table:
         parts: list[tuple] = []
-        lq, rv = left["q"].to_pylist(), right["v"].to_pylist()
-        lids, rids = np.array(left["qid"].to_pylist(), object), np.array(right["vid"].to_pylist(), object)
-        for dim in {len(x) for x in lq} & {len(x) for x in rv}:
-            qs, vs = [j for j, x in enumerate(lq) if len(x) == dim], [j for j, x in enumerate(rv) if len(x) == dim]
-            a, b = np.array([lq[j] for j in qs], float), np.array([rv[j] for j in vs], float)
-            ids = rids[vs]
-            by_id = np.argsort(ids)
-            ids, b = ids[by_id], b[by_id]
-            na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-            for at in range(0, len(a), 256):
-                below = na[at : at + 256, None] * nb[None, :]
-                score = np.round(np.where(below == 0, 0.0, (a[at : at + 256] @ b.T) / np.where(below == 0, 1, below)), digits)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                for r, o in enumerate(order):
-                    parts += [(lids[qs[at + r]], ids[j], float(score[r, j])) for j in o]
-        cols = list(zip(*parts, strict=True)) or [(), (), ()]
+        for dim, a, lids in _by_length(left, "q", "qid"):
+            for other, b, ids in _by_length(right, "v", "vid"):
+                if dim != other:
+                    continue
+                by_id = np.argsort(ids, kind="stable")
+                ids, b = ids[by_id], b[by_id]
+                na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+                for at in range(0, len(a), 256):
+                    below = na[at : at + 256, None] * nb[None, :]
+                    score = np.round(np.where(below == 0, 0.0, (a[at : at + 256] @ b.T) / np.where(below == 0, 1, below)), digits)
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    parts.append((np.repeat(lids[at : at + 256], order.shape[1]), ids[order].ravel(), np.take_along_axis(score, order, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] or [(), (), ()]
         return pa.table({query_col: pa.array(cols[0], left.schema.field("qid").type), id_col: pa.array(cols[1], right.schema.field("vid").type), "score": pa.array(cols[2], pa.float64())})
 
     found = q.groupBy("qb", "qv").cogroup(v.groupBy("vq", "vb")).applyInArrow(unit, f"`{query_col}` {qkind}, `{id_col}` {ikind}, score double")

@@ -62,23 +62,17 @@ def filing_header(spark, d):
     return rows.select("filing_id", *[c.alias(n) for n, c in t.header(F.col("text")).items()])
 
 
-def _filing_texts(spark, d):
-    # A filing has a few sections.
-    docs = table(spark, d, "documents").filter("accession_number != '' AND text IS NOT NULL")
-    return docs.groupBy("accession_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-
-
 @query
 def filing_sections(spark, d):
-    rows = sections.parse_sections(_filing_texts(spark, d))
-    return rows.select("accession_number", "section_no", "section", F.length("section_text").alias("n_chars"), F.md5("section_text").alias("digest"))
+    rows = sections.parse_sections(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "section_no", "section", F.length("section_text").alias("n_chars"), F.md5("section_text").alias("digest"))
 
 
 @query
-def filing_metadata_documents(spark, d):
-    """Whole filings loaded as documents: cleaned, cut into sections, with header fields."""
-    rows = sections.load_documents(_filing_texts(spark, d).withColumnRenamed("accession_number", "source_file"))
-    return rows.select("source_file", "section", "section_no", "filing_type", F.length("text").alias("n_chars"))
+def load_filings(spark, d):
+    """Raw texts loaded as documents: cleaned, cut into sections, with header fields."""
+    rows = sections.load_documents(table(spark, d, "documents").select("doc_id", "source_file", "text"))
+    return rows.select("doc_id", "source_file", "section", "section_no", "filing_type", F.length("text").alias("n_chars"))
 
 
 # Tokens, sentences, numbers

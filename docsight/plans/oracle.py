@@ -116,21 +116,21 @@ placed AS (SELECT query_id, chunk_id, round(score, 9) AS score, {_RANK.format(id
 SELECT * FROM placed WHERE rank <= {k}"""
 
 
-def _sections() -> str:
+def _sections(text: str = "text", show: str = "CAST(no AS INT) AS section_no, section, length(body) AS n_chars, md5(body) AS digest") -> str:
     rows = []
     for k, (name, patterns) in enumerate(SECTIONS.items()):
         bare = [p.removeprefix("(?i)") for p in patterns]
         at = "NULL"
         for p in reversed(bare):
             at = f"CASE WHEN regexp_matches(text, {_q('(?i)' + p)}) THEN length(regexp_extract(text, {_q('(?is)^(.*?)' + p)}, 1)) + 1 ELSE {at} END"
-        rows.append(f"SELECT accession_number, text, {k} AS k, {_q(name)} AS section, {at} AS pos FROM filing")
+        rows.append(f"SELECT doc_id, text, {k} AS k, {_q(name)} AS section, {at} AS pos FROM filing")
     return f"""
-WITH filing AS (SELECT accession_number, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE accession_number != '' AND text IS NOT NULL GROUP BY ALL),
+WITH filing AS (SELECT doc_id, {text} AS text FROM documents WHERE text IS NOT NULL),
 found AS (SELECT * FROM ({" UNION ALL ".join(rows)}) WHERE pos IS NOT NULL),
-cut AS (SELECT accession_number, k, pos, section, {_strip("substring(text, pos, coalesce(lead(pos) OVER w, length(text) + 1) - pos)")} AS body FROM found WINDOW w AS (PARTITION BY accession_number ORDER BY pos, k)),
-parts AS (SELECT *, row_number() OVER (PARTITION BY accession_number ORDER BY pos, k) - 1 AS no FROM cut WHERE body != ''),
-whole AS (SELECT accession_number, 0 AS no, 'Full Document' AS section, text AS body FROM filing f WHERE NOT EXISTS (SELECT 1 FROM found x WHERE x.accession_number = f.accession_number))
-SELECT accession_number, CAST(no AS INT) AS section_no, section, length(body) AS n_chars, md5(body) AS digest FROM (SELECT accession_number, no, section, body FROM parts UNION ALL SELECT * FROM whole)"""
+cut AS (SELECT doc_id, k, pos, section, {_strip("substring(text, pos, coalesce(lead(pos) OVER w, length(text) + 1) - pos)")} AS body FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k)),
+parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS no FROM cut WHERE body != ''),
+whole AS (SELECT doc_id, 0 AS no, 'Full Document' AS section, text AS body FROM filing f WHERE NOT EXISTS (SELECT 1 FROM found x WHERE x.doc_id = f.doc_id))
+SELECT doc_id, {show} FROM (SELECT doc_id, no, section, body FROM parts UNION ALL SELECT * FROM whole) JOIN (SELECT doc_id, source_file FROM documents) USING (doc_id)"""
 
 
 def _mentions() -> str:
@@ -200,6 +200,7 @@ WITH made AS (SELECT DISTINCT filing_id, concat_ws(chr(10), 'COMPANY CONFORMED N
 f AS (SELECT filing_id, {_strip("regexp_extract(text, '(?i)COMPANY CONFORMED NAME:[[:space:]]*([^\n]+)', 1)")} AS company_name, regexp_extract(text, '(?i)CENTRAL INDEX KEY:\s*(\d+)', 1) AS cik, regexp_extract(text, '(?i)FILED AS OF DATE:\s*(\d{{8}})', 1) AS r, regexp_extract(text, '(?i)ACCESSION NUMBER:\s*([\d-]+)', 1) AS accession_number FROM made)
 SELECT filing_id, company_name, cik, CASE WHEN r != '' THEN substr(r, 1, 4) || '-' || substr(r, 5, 2) || '-' || substr(r, 7, 2) ELSE '' END AS filing_date, accession_number FROM f""",
     "filing_sections": _sections(),
+    "load_filings": _sections(_clean("text"), "source_file, section, CAST(no AS INT) AS section_no, '10-K' AS filing_type, length(body) AS n_chars"),
     "token_stats": rf"SELECT doc_id, len(w)::INT AS n_tokens, len(list_distinct(w))::INT AS n_distinct, coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')), 0)::INT AS n_counted FROM (SELECT doc_id, text, {_tokens("coalesce(text, '')")} AS w FROM documents)",
     "sentence_stats": f"SELECT doc_id, len(s)::INT AS n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::INT AS n_chars FROM (SELECT doc_id, {_sentences("coalesce(text, '')")} AS s FROM documents)",
     "numbers_extract": f"SELECT doc_id, CAST(p - 1 AS INT) AS pos, number, {_value('number')} AS value FROM (SELECT doc_id, unnest(n) AS number, generate_subscripts(n, 1) AS p FROM (SELECT doc_id, {_numbers('text')} AS n FROM documents WHERE text IS NOT NULL))",
