@@ -17,6 +17,16 @@ CLAIM = (
 META = r"(?i)^(?:based on|according to|the sources|as mentioned)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; the optimizer may otherwise repeat it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ascii_lower(c: Column) -> Column:
+    """Lower case of A-Z only, so that every character keeps its place."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -75,12 +85,13 @@ def claims(c: Column) -> Column:
 
 def number_value(c: Column) -> Column:
     """The value of a written number; a percentage keeps its number; null if it cannot be read."""
-    text = strip(F.regexp_replace(F.lower(strip(c)), "[$,]", ""))
-    scale, rest = F.lit(1.0), text
-    for word, factor in reversed((("trillion", 1e12), ("billion", 1e9), ("million", 1e6), ("thousand", 1e3))):
-        has = F.contains(text, F.lit(word))
-        scale = F.when(has, F.lit(factor)).otherwise(scale)
-        rest = F.when(has, strip(F.replace(text, F.lit(word), F.lit("")))).otherwise(rest)
-    percent = F.contains(rest, F.lit("%")) | F.contains(rest, F.lit("percent"))
-    value = F.nullif(strip(F.regexp_replace(rest, "%|percent", "")), F.lit("")).try_cast("double")
-    return F.when(percent, value).otherwise(value * scale)
+
+    def read(text: Column) -> Column:
+        scale, word = F.lit(1.0), F.lit("%")
+        for name, factor in (("thousand", 1e3), ("million", 1e6), ("billion", 1e9), ("trillion", 1e12)):
+            has = F.contains(text, F.lit(name))
+            scale, word = F.when(has, F.lit(factor)).otherwise(scale), F.when(has, F.lit(name)).otherwise(word)
+        value = F.nullif(strip(F.regexp_replace(F.replace(text, word, F.lit("")), "%|percent", "")), F.lit("")).try_cast("double")
+        return F.when(F.contains(text, F.lit("%")) | F.contains(text, F.lit("percent")), value).otherwise(value * scale)
+
+    return let(strip(F.regexp_replace(F.lower(strip(c)), "[$,]", "")), read)

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsight.functions.textops import META, claims, content_words, number_value, numbers, sentences
+from docsight.functions.textops import META, claims, content_words, let, number_value, numbers, sentences
 
 #: What a finding costs by severity.
 PENALTY = {"low": 0.02, "medium": 0.08, "high": 0.15, "critical": 0.30}
@@ -24,8 +24,7 @@ def joined(sources: Column, lower: bool = False) -> Column:
 
 def overlap(sentence: Column, source: Column) -> Column:
     """Share of a sentence's content words that occur, also inside other words, in a lower-cased source; null without such words."""
-    words = content_words(sentence)
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(source, w))) / F.size(words))
+    return let(content_words(sentence), lambda words: F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(source, w))) / F.size(words)))
 
 
 def values(texts: Column) -> Column:
@@ -47,36 +46,46 @@ def _rows(answers: DataFrame, findings: Column) -> DataFrame:
 
 def factual(answers: DataFrame) -> DataFrame:
     """Sentences of 20 characters or more, no remarks on the sources, of whose content words less than 0.3 are in the sources: medium, below 0.1 high."""
-    rows = answers.withColumn("__src", joined(F.col("sources"), lower=True))
-    kept = F.filter(F.transform(sentences(F.col("answer")), lambda s: F.struct(s.alias("s"), overlap(s, F.col("__src")).alias("o"))), lambda x: (F.length(x["s"]) >= 20) & ~x["s"].rlike(META) & (x["o"] < 0.3))
     percent = lambda o: F.rint(o * 100).cast("int").cast("string")
-    found = F.transform(kept, lambda x: _finding("factual_consistency", F.when(x["o"] < 0.1, "high").otherwise("medium"), F.concat(F.lit("Sentence may not be grounded in sources (overlap="), percent(x["o"]), F.lit("%).")), F.substring(x["s"], 1, 200)))
-    return _rows(rows, found)
+
+    def check(src: Column) -> Column:
+        scored = F.transform(sentences(F.col("answer")), lambda s: F.struct(s.alias("s"), overlap(s, src).alias("o")))
+        kept = F.filter(scored, lambda x: (F.length(x["s"]) >= 20) & ~x["s"].rlike(META) & (x["o"] < 0.3))
+        return F.transform(kept, lambda x: _finding("factual_consistency", F.when(x["o"] < 0.1, "high").otherwise("medium"), F.concat(F.lit("Sentence may not be grounded in sources (overlap="), percent(x["o"]), F.lit("%).")), F.substring(x["s"], 1, 200)))
+
+    return _rows(answers, let(joined(F.col("sources"), lower=True), check))
 
 
 def hallucination(answers: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Numbers of financial claims that the sources neither spell nor come near to: high; medium where the sources have no number at all."""
-    rows = answers.withColumn("__src", joined(F.col("sources"))).withColumn("__n", numbers(F.col("__src"))).withColumn("__v", values(F.col("__n")))
-    open_ = F.filter(F.transform(claims(F.col("answer")), lambda c: F.struct(c.alias("c"), number_value(c).alias("v"))), lambda x: ~F.contains(F.col("__src"), x["c"]) & x["v"].isNotNull() & ~close(x["v"], F.col("__v"), tolerance))
-    some = F.size("__v") > 0
-    found = F.transform(
-        open_,
-        lambda x: _finding(
-            "hallucination_detection",
-            F.when(some, "high").otherwise("medium"),
-            F.when(some, F.concat(F.lit("Financial figure '"), x["c"], F.lit("' not found in source documents."))).otherwise(F.concat(F.lit("Could not verify figure '"), x["c"], F.lit("' against sources."))),
-            x["c"],
-            F.when(some, F.concat(F.lit("Source numbers: "), F.array_join(F.slice("__n", 1, 5), "; "))).otherwise(""),
-        ),
-    )
-    return _rows(rows, found)
+
+    def check(src: Column, spelled: Column, known: Column) -> Column:
+        valued = F.transform(claims(F.col("answer")), lambda c: F.struct(c.alias("c"), number_value(c).alias("v")))
+        open_ = F.filter(valued, lambda x: ~F.contains(src, x["c"]) & x["v"].isNotNull() & ~close(x["v"], known, tolerance))
+        some = F.size(known) > 0
+        return F.transform(
+            open_,
+            lambda x: _finding(
+                "hallucination_detection",
+                F.when(some, "high").otherwise("medium"),
+                F.when(some, F.concat(F.lit("Financial figure '"), x["c"], F.lit("' not found in source documents."))).otherwise(F.concat(F.lit("Could not verify figure '"), x["c"], F.lit("' against sources."))),
+                x["c"],
+                F.when(some, F.concat(F.lit("Source numbers: "), F.array_join(F.slice(spelled, 1, 5), "; "))).otherwise(""),
+            ),
+        )
+
+    return _rows(answers, let(joined(F.col("sources")), lambda src: let(numbers(src), lambda n: let(values(n), lambda v: check(src, n, v)))))
 
 
 def numerical(answers: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Numbers of the answer that the sources neither spell nor come near to: medium."""
-    rows = answers.withColumn("__src", joined(F.col("sources"))).withColumn("__v", values(numbers(F.col("__src"))))
-    open_ = F.filter(numbers(F.col("answer")), lambda n: number_value(n).isNotNull() & ~F.contains(F.col("__src"), n) & ~close(number_value(n), F.col("__v"), tolerance))
-    return _rows(rows, F.transform(open_, lambda n: _finding("numerical_validation", "medium", F.concat(F.lit("Number '"), n, F.lit("' could not be verified in sources.")), n)))
+
+    def check(src: Column, known: Column) -> Column:
+        valued = F.transform(numbers(F.col("answer")), lambda n: F.struct(n.alias("n"), number_value(n).alias("v")))
+        open_ = F.filter(valued, lambda x: x["v"].isNotNull() & ~F.contains(src, x["n"]) & ~close(x["v"], known, tolerance))
+        return F.transform(open_, lambda x: _finding("numerical_validation", "medium", F.concat(F.lit("Number '"), x["n"], F.lit("' could not be verified in sources.")), x["n"]))
+
+    return _rows(answers, let(joined(F.col("sources")), lambda src: let(values(numbers(src)), lambda v: check(src, v))))
 
 
 def form(answers: DataFrame) -> DataFrame:

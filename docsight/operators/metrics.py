@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsight.functions.textops import content_words, number_value, numbers, sentences
+from docsight.functions.textops import content_words, let, number_value, numbers, sentences
 from docsight.functions.vectors import cosine
 
 from .guardrails import close, joined, overlap, values
@@ -39,25 +39,30 @@ def retrieval_metrics(queries: DataFrame, run: DataFrame, relevant: DataFrame, k
 
 def faithfulness(answers: DataFrame) -> DataFrame:
     """(answer_id, faithfulness): share of sentences above 15 characters of whose content words 0.3 or more are in the sources, or that have none; 1 without such sentences."""
-    src = answers.withColumn("__src", joined(F.col("sources"), lower=True))
     long = F.filter(sentences(F.coalesce("answer", F.lit(""))), lambda s: F.length(s) > 15)
-    rows = src.withColumn("__s", long).select("answer_id", F.size("__s").alias("n"), F.size(F.filter("__s", lambda s: F.coalesce(overlap(s, F.col("__src")) >= 0.3, F.lit(True)))).alias("g"))
-    return rows.select("answer_id", F.when(F.col("n") > 0, F.col("g") / F.col("n")).otherwise(1.0).alias("faithfulness"))
+    grounded = lambda src, found: F.size(F.filter(found, lambda s: F.coalesce(overlap(s, src) >= 0.3, F.lit(True))))
+    share = let(long, lambda found: F.when(F.size(found) > 0, let(joined(F.col("sources"), lower=True), lambda src: grounded(src, found)) / F.size(found)).otherwise(1.0))
+    return answers.select("answer_id", share.alias("faithfulness"))
 
 
 def context_relevancy(questions: DataFrame) -> DataFrame:
     """(answer_id, context_relevancy) of answer_id, query and sources: share of sources that have 0.2 or more of the query's distinct content words; 0 without sources or words."""
-    words = F.array_distinct(content_words(F.coalesce("query", F.lit(""))))
-    rows = questions.withColumn("__w", words).withColumn("__t", F.coalesce("sources", F.array().cast("array<string>")))
-    good = F.size(F.filter("__t", lambda t: F.size(F.array_intersect("__w", F.array_distinct(content_words(t)))) / F.size("__w") >= 0.2))
-    return rows.select("answer_id", F.when((F.size("__w") > 0) & (F.size("__t") > 0), good / F.size("__t")).otherwise(0.0).alias("context_relevancy"))
+    texts = F.coalesce("sources", F.array().cast("array<string>"))
+    good = lambda words: F.size(F.filter(texts, lambda t: F.size(F.array_intersect(words, F.array_distinct(content_words(t)))) / F.size(words) >= 0.2))
+    share = let(F.array_distinct(content_words(F.coalesce("query", F.lit("")))), lambda words: F.when((F.size(words) > 0) & (F.size(texts) > 0), good(words) / F.size(texts)).otherwise(0.0))
+    return questions.select("answer_id", share.alias("context_relevancy"))
 
 
 def numerical_accuracy(answers: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """(answer_id, numerical_accuracy): share of the answer's numbers that the sources spell or come near to; 1 without numbers."""
-    rows = answers.withColumn("__src", joined(F.col("sources"))).withColumn("__v", values(numbers(F.col("__src")))).withColumn("__n", numbers(F.coalesce("answer", F.lit(""))))
-    good = F.size(F.filter("__n", lambda n: F.contains(F.col("__src"), n) | F.coalesce(close(number_value(n), F.col("__v"), tolerance), F.lit(False))))
-    return rows.select("answer_id", F.when(F.size("__n") > 0, good / F.size("__n")).otherwise(1.0).alias("numerical_accuracy"))
+
+    def check(src: Column, known: Column, spelled: Column) -> Column:
+        good = F.size(F.filter(spelled, lambda n: F.contains(src, n) | F.coalesce(close(number_value(n), known, tolerance), F.lit(False))))
+        return F.when(F.size(spelled) > 0, good / F.size(spelled)).otherwise(1.0)
+
+    spelled = numbers(F.coalesce("answer", F.lit("")))
+    share = let(joined(F.col("sources")), lambda src: let(values(numbers(src)), lambda known: let(spelled, lambda n: check(src, known, n))))
+    return answers.select("answer_id", share.alias("numerical_accuracy"))
 
 
 def answer_relevancy(pairs: DataFrame) -> DataFrame:

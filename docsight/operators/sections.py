@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsight.functions.textops import clean, header, strip
+from docsight.functions.textops import ascii_lower, clean, header, let, strip
 
 #: The headings of the sections, in order; the first pattern that matches counts.
 SECTIONS = {
@@ -21,15 +21,28 @@ WHOLE = "Full Document"
 
 
 def boundaries(text: Column) -> Column:
-    """array<struct<at, name>> of the first heading of each section, by position (from 1)."""
-    found = []
-    for k, (name, patterns) in enumerate(SECTIONS.items()):
-        at = F.lit(0)
-        for p in reversed(patterns):
-            # What stands before the match; regexp_instr would count UTF-16 units, not characters.
-            at = F.when(text.rlike(p), F.length(F.split(text, p, 2)[0]) + 1).otherwise(at)
-        found.append(F.struct(at.alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name")))
-    return F.array_sort(F.filter(F.array(*found), lambda b: b["at"] > 0))
+    """array<struct<at, k, name>> of the first heading of each section, by position (from 1)."""
+
+    def first(low: Column, pattern: str) -> Column:
+        # What stands before the match; regexp_instr would count UTF-16 units, not characters.
+        return let(F.split(low, pattern.removeprefix("(?i)"), 2), lambda s: F.when(F.size(s) > 1, F.length(s[0]) + 1))
+
+    def all_(low: Column) -> Column:
+        found = [F.struct(F.coalesce(*[first(low, p) for p in patterns]).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, patterns) in enumerate(SECTIONS.items())]
+        return F.array_sort(F.filter(F.array(*found), lambda b: b["at"].isNotNull()))
+
+    return let(ascii_lower(text), all_)
+
+
+def cut_sections(text: Column) -> Column:
+    """array<struct<name, body>>: the sections of a text, or all of it as "Full Document"."""
+
+    def cut(b: Column) -> Column:
+        body = lambda x, i: strip(F.substring(text, x["at"], F.coalesce(F.try_element_at(b, i + 2)["at"], F.length(text) + 1) - x["at"]))
+        parts = F.filter(F.transform(b, lambda x, i: F.struct(x["name"].alias("name"), body(x, i).alias("body"))), lambda x: x["body"] != "")
+        return F.when(F.size(b) == 0, F.array(F.struct(F.lit(WHOLE).alias("name"), text.alias("body")))).otherwise(parts)
+
+    return let(boundaries(text), cut)
 
 
 def parse_sections(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -38,22 +51,23 @@ def parse_sections(df: DataFrame, text_col: str = "text") -> DataFrame:
     Without any heading the whole text is the section "Full Document"; text before the first heading and
     blank sections are left out; null texts give no row.
     """
-    rows = df.withColumn("__b", boundaries(F.col(text_col))).filter(F.col(text_col).isNotNull())
-    cut = lambda b, i: strip(F.substring(F.col(text_col), b["at"], F.coalesce(F.try_element_at(F.col("__b"), i + 2)["at"], F.length(text_col) + 1) - b["at"]))
-    parts = F.filter(F.transform("__b", lambda b, i: F.struct(b["name"].alias("name"), cut(b, i).alias("body"))), lambda s: s["body"] != "")
-    whole = F.array(F.struct(F.lit(WHOLE).alias("name"), F.col(text_col).alias("body")))
-    rows = rows.withColumn("__s", F.when(F.size("__b") == 0, whole).otherwise(parts))
-    return rows.select(*df.columns, F.posexplode("__s").alias("section_no", "__p")).select(*df.columns, "section_no", F.col("__p.name").alias("section"), F.col("__p.body").alias("section_text"))
+    rows = df.filter(F.col(text_col).isNotNull()).select(*df.columns, F.posexplode(cut_sections(F.col(text_col))).alias("section_no", "__p"))
+    return rows.select(*df.columns, "section_no", F.col("__p.name").alias("section"), F.col("__p.body").alias("section_text"))
 
 
 def load_documents(raw: DataFrame, text_col: str = "text", company_name: str = "", filing_date: str = "") -> DataFrame:
-    """Documents, one for each section, of raw filings: cleaned, with header fields; the caller's company and date win if not empty."""
-    cleaned = raw.withColumn(text_col, clean(F.col(text_col)))
-    fields = header(F.col(text_col))
-    if company_name:
-        fields["company_name"] = F.lit(company_name)
-    if filing_date:
-        fields["filing_date"] = F.lit(filing_date)
-    rows = cleaned.withColumns(fields | {"filing_type": F.lit("10-K")})
-    rows = parse_sections(rows, text_col)
-    return rows.withColumn(text_col, F.col("section_text")).drop("section_text")
+    """Documents, one for each section, of raw filings: cleaned, with header fields; the caller's company and date win if not empty. Null texts give no row."""
+
+    def read(text: Column) -> Column:
+        fields = header(text)
+        if company_name:
+            fields["company_name"] = F.lit(company_name)
+        if filing_date:
+            fields["filing_date"] = F.lit(filing_date)
+        return F.struct(*[c.alias(n) for n, c in fields.items()], cut_sections(text).alias("sections"))
+
+    names = ["company_name", "cik", "filing_date", "accession_number"]
+    kept = [c for c in raw.columns if c not in (text_col, *names, "filing_type", "section", "section_no")]
+    rows = raw.filter(F.col(text_col).isNotNull()).select(*kept, let(clean(F.col(text_col)), read).alias("__r"))
+    rows = rows.select(*kept, *[F.col(f"__r.{n}").alias(n) for n in names], F.lit("10-K").alias("filing_type"), F.posexplode("__r.sections").alias("section_no", "__p"))
+    return rows.select(*kept, *names, "filing_type", "section_no", F.col("__p.name").alias("section"), F.col("__p.body").alias(text_col))
