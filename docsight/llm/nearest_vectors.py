@@ -121,10 +121,12 @@ def scan(codebook: Codebook, queries: np.ndarray, qids: np.ndarray, vectors: np.
     columns = [np.ascontiguousarray(codes[:, j]).astype(np.intp) for j in range(codes.shape[1])]
     for at in range(0, len(queries), 256):
         q, own = queries[at : at + 256], qids[at : at + 256]
-        score, part = np.zeros((len(q), n), np.float32), np.empty((len(q), n), np.float32)
+        # Tables have one row for each byte, so that a look-up copies the scores of all queries at once.
+        score, part = np.zeros((n, len(q)), np.float32), np.empty((n, len(q)), np.float32)
         for table, column in zip(codebook.tables(q), columns, strict=True):
-            np.take(table, column, axis=1, out=part, mode="clip")
+            np.take(np.ascontiguousarray(table.T), column, axis=0, out=part, mode="clip")
             score += part
+        score = np.ascontiguousarray(score.T)
         top = np.argpartition(score, n - keep, axis=1)[:, n - keep :] if keep < n else np.broadcast_to(np.arange(n), (len(q), n))
         exact = np.einsum("qd,qkd->qk", q, vectors[top])
         exact[ids[top] == own[:, None]] = -np.inf
