@@ -350,14 +350,20 @@ def _seeds(spark, d):
 
 @query
 def kg_related(spark, d):
-    """Two steps along competitors; the hubs that all companies report to are another relation."""
+    """Two steps along competitors alone; ``kg_related_d2`` follows every relation."""
     found = graph.related(_seeds(spark, d), *_graph(spark, d), 2, "competes_with")
     return found.select("seed", "node_id", "distance")
 
 
+@query
+def kg_related_d2(spark, d):
+    """Two steps along every relation, through the hubs as well."""
+    return graph.related(_seeds(spark, d), *_graph(spark, d), 2).select("seed", "node_id", "distance")
+
+
 @query
 def kg_context(spark, d):
-    return graph.context(graph.related(_seeds(spark, d), *_graph(spark, d), 1))
+    return graph.context(graph.related(_seeds(spark, d), *_graph(spark, d), 2))
 
 
 @query

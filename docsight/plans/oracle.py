@@ -233,6 +233,7 @@ SELECT doc_id, window_no, start_char, md5(piece) AS digest FROM w WHERE piece !=
     "kg_nodes": f"WITH {_GRAPH}, docs AS (SELECT entity_type || '::' || name AS node_id, arg_max(coalesce(source_file, ''), doc_id) AS source_document, max(CASE WHEN entity_type IN ('monetary_amount', 'percentage', 'date') THEN name END) AS raw FROM mentions GROUP BY 1) SELECT node_id, name, entity_type, source_document, raw FROM nodes LEFT JOIN docs USING (node_id)",
     "kg_degree": f"WITH {_GRAPH}, e AS (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges), c AS (SELECT node_id, count(*) AS n FROM e GROUP BY ALL) SELECT node_id, coalesce(n, 0)::BIGINT AS degree FROM nodes LEFT JOIN c USING (node_id)",
     "kg_related": f"WITH {_GRAPH}, both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE relation_type = 'competes_with' UNION SELECT dst, src FROM edges WHERE relation_type = 'competes_with'), s AS (SELECT node_id AS seed FROM seeds WHERE node_id IN (SELECT node_id FROM nodes)), one AS (SELECT DISTINCT seed, b AS node_id FROM s JOIN both_ways ON a = seed WHERE b != seed), two AS (SELECT DISTINCT seed, b AS node_id FROM one JOIN both_ways ON a = one.node_id WHERE b != seed EXCEPT SELECT * FROM one) SELECT seed, node_id, 1::INT AS distance FROM one UNION ALL SELECT seed, node_id, 2::INT FROM two",
+    "kg_related_d2": f"WITH {_GRAPH}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT node_id AS seed FROM seeds WHERE node_id IN (SELECT node_id FROM nodes)), one AS (SELECT DISTINCT seed, b AS node_id FROM s JOIN both_ways ON a = seed WHERE b != seed), two AS (SELECT DISTINCT seed, b AS node_id FROM one JOIN both_ways ON a = one.node_id WHERE b != seed EXCEPT SELECT * FROM one) SELECT seed, node_id, 1::INT AS distance FROM one UNION ALL SELECT seed, node_id, 2::INT FROM two",
     "kg_summary": f"WITH {_GRAPH}, ends AS (SELECT src AS node_id, 'out' AS direction, relation_type, dst AS other FROM edges UNION ALL SELECT dst, 'in', relation_type, src FROM edges) SELECT e.node_id, direction, relation_type, count(*) AS n, min(coalesce(n.name, e.other)) AS first, max(coalesce(n.name, e.other)) AS last FROM ends e JOIN nodes n ON n.node_id = e.other WHERE e.node_id IN (SELECT node_id FROM seeds) GROUP BY ALL",
     "kg_stored_degree": "WITH e AS (SELECT DISTINCT 'filing::' || source_document AS src, node_id AS dst FROM entities WHERE source_document IS NOT NULL) SELECT node_id, count(*)::BIGINT AS degree FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY ALL",
     "guard_factual": f"WITH {_ANSWERS}, {_PARTS}, {_FACTUAL} SELECT answer_id, severity, message, span FROM factual",

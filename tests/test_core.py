@@ -14,6 +14,7 @@ from docsight.config import EngineConfig
 from docsight.functions import textops as t
 from docsight.functions import vectors as v
 from docsight.operators import chunking, dense, embedding, fusion, generate, graph, guardrails, metrics, retrieve, sections, sparse, units
+from docsight.plans import catalog
 from docsight.plans.engine import Engine
 from docsight.sources import filings, tables
 from docsight.streaming.ingest import event_counts, filing_stream, ingest_stream
@@ -222,6 +223,15 @@ def test_walk_is_breadth_first(spark):
     assert graph.summary(nodes, edges, seeds.limit(1)).filter("direction = 'in'").count() == 2
 
 
+def test_registered_walks_follow_every_relation_two_steps(spark, tmp_path):
+    rows = [(1, "Revenue rose.", "Acme", "MD&A", "a.txt"), (2, "Revenue fell. We compete with Gamma.", "Beta", "Risk Factors", "b.txt")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, company_name string, section string, source_file string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(50, "Acme")], "filing_id bigint, company_name string").write.parquet(f"{tmp_path}/filings.parquet")
+    found = {(r["node_id"], r["distance"]) for r in catalog.QUERIES["kg_related_d2"](spark, str(tmp_path)).collect()}
+    assert found == {("financial_metric::revenue", 1), ("filing_section::MD&A", 1), ("company::Beta", 2)}
+    assert "company::Beta" in catalog.QUERIES["kg_context"](spark, str(tmp_path)).first()["context"]
+
+
 # Guardrails, metrics, generation
 
 
