@@ -279,8 +279,9 @@ def strategy_results(spark, d):
 
 @query
 def sentence_compress(spark, d):
-    top = table(spark, d, "results").filter("leg = 'rerank'").groupBy("query_id").agg(F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"))
-    found = top.join(_corpus(spark, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
+    """Every chunk that some leg retrieved for the question; null and NaN scores are not retrieved."""
+    retrieved = table(spark, d, "results").filter("score IS NOT NULL AND NOT isnan(score)").select("query_id", "chunk_id").distinct()
+    found = retrieved.join(_corpus(spark, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
     return retrieve.compress(found, _questions(spark, d))
 
 

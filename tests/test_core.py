@@ -194,6 +194,13 @@ def test_diversify_rerank_compress(spark):
 # Graph
 
 
+def test_every_retrieved_chunk_is_compressed(spark):
+    rows = [r for r in spark.read.parquet(f"{DATA}/results.parquet").collect() if r["score"] is not None and not math.isnan(r["score"])]
+    known = {r["chunk_id"] for r in spark.read.parquet(f"{DATA}/chunks.parquet").select("chunk_id").collect()}
+    out = [(r["query_id"], r["chunk_id"]) for r in catalog.QUERIES["sentence_compress"](spark, str(DATA)).collect()]
+    assert sorted(out) == sorted({(r["query_id"], r["chunk_id"]) for r in rows if r["chunk_id"] in known})
+
+
 def test_graph(spark):
     text = "Beta Corp. operates in France. We compete with Gamma and others. Revenue was $5 million, up 3% in fiscal year 2020. A subsidiary of Delta, revenue again."
     df = spark.createDataFrame([(1, text, "Acme", "MD&A"), (2, None, "Acme", "MD&A"), (3, "We compete with Gamma.", "", None), (4, "", None, None)], "doc_id int, text string, company_name string, section string")
