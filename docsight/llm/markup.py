@@ -15,7 +15,6 @@ import re
 import textwrap
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -360,13 +359,43 @@ def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, text string, found array<struct<markup:string,element:string>>")
 
 
+def shared_lines(a: list[str], b: list[str]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence of two lists of lines.
+
+    Bit-parallel: after each line of ``b`` the zeros among the low i bits of a row number the length for the first i lines of ``a``.
+    """
+    common = set(a) & set(b)
+    at = [i for i, line in enumerate(a) if line in common]
+    b = [line for line in b if line in common]
+    where: dict[str, int] = {}
+    for k, i in enumerate(at):
+        where[a[i]] = where.get(a[i], 0) | 1 << k
+    full = (1 << len(at)) - 1
+    rows = [full]
+    for line in b:
+        v = rows[-1]
+        u = v & where[line]
+        rows.append((v + u | v - u) & full)
+    out, i, j = [], len(at), len(b)
+    while i and j:
+        if a[at[i - 1]] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(at[i])
+        elif rows[j] >> (i - 1) & 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def without_shared_lines(text: str | None, neighbour: str | None) -> str | None:
-    """The lines of a text that are not in its longest common subsequence of lines with the neighbour; blank lines stay."""
+    """The lines of a text that are not in its longest common subsequence of lines with the neighbour; blank lines stay and are not counted in it."""
     if not text or not neighbour:
         return text
-    a, b = text.split("\n"), neighbour.split("\n")
-    shared = {i for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for i in range(m.a, m.a + m.size)}
-    return "\n".join(line for i, line in enumerate(a) if i not in shared or not line.strip())
+    lines = text.split("\n")
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    shared = {full[k] for k in shared_lines([lines[i] for i in full], [line for line in neighbour.split("\n") if line.strip()])}
+    return "\n".join(line for i, line in enumerate(lines) if i not in shared)
 
 
 def page_difference(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "source_file", buckets: int = 64) -> DataFrame:

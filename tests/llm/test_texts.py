@@ -1,5 +1,6 @@
 """p3, p5, p8, p9, p10 on known texts, round trips, held-out accuracy and hostile input."""
 
+import itertools
 import random
 
 import numpy as np
@@ -46,6 +47,19 @@ def test_markup_keeps_structure(spark):
     assert markup.clean_documents(df.limit(0)).count() == 0
 
 
+def test_shared_lines_are_a_longest_common_subsequence():
+    assert markup.without_shared_lines("1\n2\n3\nX\nY", "X\nY\n1\nQ\n2\nR\n3") == "X\nY"
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(90))] for _ in range(2))
+        longest = [0] * (len(b) + 1)
+        for x in a:
+            longest = list(itertools.accumulate(range(1, len(b) + 1), lambda best, j: max(best, longest[j], longest[j - 1] + (x == b[j - 1])), initial=0))
+        found = markup.shared_lines(a, b)
+        left = iter(b)
+        assert len(found) == longest[-1] and found == sorted(set(found)) and all(a[i] in left for i in found)
+
+
 def test_page_difference(spark):
     menu = "Home\nAbout"
     rows = [(1, f"{menu}\nfirst", "h/p/a-1-1.txt"), (2, f"{menu}\nsecond", "h/p/a-1-2.txt"), (3, None, "h/p/a-1-3.txt"), (4, "alone", None)]
