@@ -17,9 +17,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsight.runtime import checkpoint
+
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
 HEADING, LIST, CODE, FORMULA, OTHER = "heading", "list", "code", "formula", "other"
 
@@ -388,37 +390,132 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def without_shared_lines(text: str | None, neighbour: str | None) -> str | None:
-    """The lines of a text that are not in its longest common subsequence of lines with the neighbour; blank lines stay and are not counted in it."""
-    if not text or not neighbour:
-        return text
+def _difference(text: str, neighbour: str) -> tuple[str, int]:
+    """What is left of a text, and how many lines went."""
     lines = text.split("\n")
     full = [i for i, line in enumerate(lines) if line.strip()]
     shared = {full[k] for k in shared_lines([lines[i] for i in full], [line for line in neighbour.split("\n") if line.strip()])}
-    return "\n".join(line for i, line in enumerate(lines) if i not in shared)
+    return "\n".join(line for i, line in enumerate(lines) if i not in shared), len(shared)
+
+
+def without_shared_lines(text: str | None, neighbour: str | None) -> str | None:
+    """The lines of a text that are not in its longest common subsequence of lines with the neighbour; blank lines stay and are not counted in it."""
+    return _difference(text, neighbour)[0] if text and neighbour else text
+
+
+class _Walk:
+    """Rows of one host in order: for each the last one before it that has another page and another text."""
+
+    def __init__(self, carried: list[tuple] = ()):
+        self.host = self.page = self.last = self.other = self.before = self.before_other = None
+        for row in carried:
+            self.step(row)
+
+    def step(self, row: tuple) -> tuple | None:
+        """``row`` is (host, page, digest, id). ``other`` is the last row of another text than ``last``; ``before`` the last row of the page before."""
+        host, page, digest, _ = row
+        if host != self.host or self.last is None:
+            self.host, self.page, self.last, self.other, self.before, self.before_other = host, page, None, None, None, None
+        elif page != self.page:
+            self.page, self.before, self.before_other = page, self.last, self.other
+        found = self.before if self.before is None or self.before[2] != digest else self.before_other
+        if self.last is not None and self.last[2] != digest:
+            self.other = self.last
+        self.last = row
+        return found
+
+
+def _state(rows: Iterator[tuple]) -> list[tuple]:
+    """The few rows, in order, that leave a walk as all of ``rows`` do."""
+    walk, number = _Walk(), {}
+    for n, row in enumerate(rows):
+        walk.step(row)
+        kept = {id(r): r for r in (walk.last, walk.other, walk.before, walk.before_other) if r is not None}
+        number = {k: number.get(k, n) for k in kept}
+    return sorted(kept.values(), key=lambda r: number[id(r)]) if number else []
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "page", "digest", "id")), strict=True)
+
+
+def _next_to(ordered: DataFrame, kind: str, back: bool) -> DataFrame:
+    """``ordered`` with the row found before each in its order: the walk runs in every part, from the state that earlier parts leave."""
+    state = f"part int, n int, host string, page string, digest binary, id {kind}"
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                if b.num_rows:
+                    part[:] = [(b.column(b.schema.get_field_index("part"))[0].as_py(), b.schema.field("id").type)]
+                    yield from _rows(b)
+
+        kept = _state(rows())
+        if kept:
+            p, id_type = part[0]
+            cols = list(zip(*kept, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(kept), pa.int32()), pa.array(range(len(kept)), pa.int32()), *(pa.array(c, pa.string()) for c in cols[:2]), pa.array(cols[2], pa.binary()), pa.array(cols[3], id_type)], ["part", "n", "host", "page", "digest", "id"])
+
+    left: dict[int, list[tuple]] = {}
+    for r in ordered.mapInArrow(ends, state).collect():  # four rows a part at most
+        left.setdefault(r["part"], []).append((r["n"], (r["host"], r["page"], bytes(r["digest"]), r["id"])))
+    carried, at = {}, []
+    for p in sorted(left, reverse=back):
+        carried[p] = at
+        at = _state(iter([*at, *(row for _, row in sorted(left[p], key=lambda x: x[0]))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            walk = walk or _Walk(carried[b.column(b.schema.get_field_index("part"))[0].as_py()])
+            found = [walk.step(row) or (None,) * 4 for row in _rows(b)]
+            new = {"near_digest": pa.array([f[2] for f in found], pa.binary()), "near": pa.array([f[3] for f in found], b.schema.field("id").type)}
+            yield pa.RecordBatch.from_arrays([*b.columns, *new.values()], [*b.schema.names, *new])
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes)
+    return ordered.mapInArrow(run, f"{columns}, near_digest binary, near {kind}")
 
 
 def page_difference(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "source_file", buckets: int = 64) -> DataFrame:
     """(id, text, neighbour, removed): each page without the lines it shares with the page next to it by URL path.
 
-    The host is what stands before the last path segment. Within a host pages are ordered by path and id; the
-    neighbour is the previous page in a bucket of the path's order (the first page of a bucket takes the next one), so a host
-    of any size is spread over ``buckets`` windows. Pages whose text equals the neighbour's, and pages alone
-    in their bucket, stay whole, as do null and empty texts; a null URL counts as a host of its own.
+    The host is what stands before the last path segment. Within a host the distinct texts of each URL are ordered by URL and
+    lowest id; the neighbour is the nearest one before that has another URL and another text, or where there is none the
+    nearest one after. The order is cut into ``buckets`` ranges, so a host may have any size, and each range goes on where the one
+    before ended. Copies share what is found for their text. Pages without such a neighbour stay whole, as do null and blank
+    texts, which are nobody's neighbour; rows without a URL count as pages of a host of their own, one for each text.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), url.alias("url"), F.regexp_extract(url, r"^(.*?)[^/]*$", 1).alias("host"))
-    pages = pages.withColumn("bucket", F.pmod(F.xxhash64(F.substring_index("url", "-", 2)), F.lit(buckets)))
-    w = Window.partitionBy("host", "bucket").orderBy("url", "id")
-    near = F.coalesce(F.lag(F.struct("id", "text")).over(w), F.lead(F.struct("id", "text")).over(w))
-    paired = pages.select("id", "text", near.alias("n")).select("id", "text", F.col("n.id").alias("other"), F.when(F.col("n.text") != F.col("text"), F.col("n.text")).alias("near"))
+    url = F.when(F.col(url_col) != "", F.col(url_col))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), url.alias("url"))
+    blank = F.coalesce(~F.col("text").rlike(r"\S"), F.lit(True))
+    pages = rows.filter(~blank).withColumn("digest", F.unhex(F.md5("text")))
+    pages = pages.withColumn("host", F.when(F.col("url").isNull(), "\n").otherwise(F.regexp_extract("url", r"^(.*?)[^/]*$", 1))).withColumn("page", F.coalesce("url", F.hex("digest")))
+    distinct = pages.groupBy("host", "page", "digest").agg(F.min("id").alias("id"))
+    keys = [F.col("host"), F.when(F.col("host") != "\n", F.col("page")).otherwise(""), F.col("id"), F.col("digest")]
+    ordered = checkpoint(distinct.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    before = _next_to(ordered, kind, False).withColumnsRenamed({"near": "b", "near_digest": "b_digest"})
+    after = _next_to(before.sortWithinPartitions(*[k.desc() for k in keys]), kind, True)
+    first = F.col("b_digest").isNotNull()
+    links = after.select("page", "digest", F.when(first, F.col("b")).otherwise(F.col("near")).alias("other"), F.coalesce("b_digest", "near_digest").alias("other_digest"))
+
+    texts = pages.select("digest", "text").dropDuplicates(["digest"])
+    pairs = links.filter("other_digest IS NOT NULL").select("digest", "other_digest").distinct()
+    both = pairs.join(texts, "digest").join(texts.toDF("other_digest", "near"), "other_digest").select("digest", "other_digest", "text", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, near = b.column(1).to_pylist(), b.column(3).to_pylist()
-            new = [without_shared_lines(t, n) for t, n in zip(texts, near, strict=True)]
-            gone = [len((t or "").split("\n")) - len((x or "").split("\n")) if t else 0 for t, x in zip(texts, new, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), b.column(2), pa.array(gone, pa.int32())], [id_col, "text", "neighbour", "removed"])
-
-    return paired.mapInArrow(run, f"`{id_col}` {kind}, text string, neighbour {kind}, removed int")
+            done = [_difference(t, n) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["digest", "other_digest", "text", "removed"])
+
+    cleaned = both.mapInArrow(run, "digest binary, other_digest binary, text string, removed int")
+    named = pages.select("id", "page", "digest").join(links, ["page", "digest"])
+    out = ["id", "text", "other", "removed"]
+    paired = named.filter("other_digest IS NOT NULL").join(cleaned, ["digest", "other_digest"]).select(*out)
+    none = (F.lit(None).cast(kind).alias("other"), F.lit(0).alias("removed"))
+    whole = named.filter("other_digest IS NULL").join(texts, "digest").select("id", "text", *none)
+    return paired.unionByName(whole).unionByName(rows.filter(blank).select("id", "text", *none)).toDF(id_col, "text", "neighbour", "removed")

@@ -67,6 +67,26 @@ def test_page_difference(spark):
     assert out == {1: "first", 2: "second", 3: None, 4: "alone"}
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_every_page_meets_another_page(spark, buckets):
+    rng = random.Random(9)
+    urls = ["x.txt", "h/a.txt", "h/b-1-2.txt", "h/b-1-3.txt", "h/c.txt", "h/d.txt", "g/a.txt", "g/b.txt"]
+    rows = [(k, rng.choice(["menu\none", "menu\ntwo", "menu\nthree", "menu\none"]) if k % 9 else None, rng.choice(urls)) for k in range(60)]
+    rows += [(100 + k, "menu\none", f"h/e-{k}-1.txt") for k in range(20)] + [(200 + k, "menu\nlast", "h/z.txt") for k in range(20)]
+    host = lambda u: u.rpartition("/")[0]
+    reps = {}
+    for i, t, u in rows:
+        if t:
+            reps[u, t] = min(i, reps.get((u, t), i))
+    order = sorted((u, i, t) for (u, t), i in reps.items())
+    out = {r["doc_id"]: r for r in markup.page_difference(spark.createDataFrame(rows, "doc_id bigint, text string, source_file string"), buckets=buckets).collect()}
+    assert len(out) == len(rows)
+    for i, t, u in rows:
+        fit = [(v, j, x) for v, j, x in order if t and host(v) == host(u) and v != u and x != t]
+        near = ([x for x in fit if x[0] < u][-1:] or fit[:1] or [(None,) * 3])[0]
+        assert (out[i]["neighbour"], out[i]["text"], out[i]["removed"]) == (near[1], t if near[2] is None else t.split("\n")[1], int(near[2] is not None))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=400), st.integers(20, 80), st.integers(0, 15))
 def test_cuts_cover_and_overlap(text, limit, overlap):
