@@ -213,6 +213,11 @@ def test_languages_of_documents_and_passages(spark, model):
     assert languages.identify(df.limit(0), model).count() == 0
 
 
+def test_words_between_amounts_are_text():
+    text = "We paid $8 million, following the offer, and we recorded $9 million. Let $a_1 + b$ be and $$x = 2$$ too."
+    assert languages.plain(text).split() == text.lower().replace("$a_1 + b$", "").replace("$$x = 2$$", "").split()
+
+
 def test_held_out_sentences(model):
     reader = languages.Reader(model)
     held = {"en": "we expect prices of the market to be lasting in the plan", "de": "die schwächen auf dem markt werden im vorstand geprüft", "fr": "les faiblesses du plan ont été examinées pendant le conseil", "es": "las debilidades del plan se examinan y el mercado se mantiene", "pt": "as fraquezas do plano não vão acabar e o mercado viu", "nl": "de zwakke punten van het plan zijn in de raad onderzocht"}
