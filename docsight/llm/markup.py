@@ -35,7 +35,7 @@ _TEX_HEADINGS = "part|chapter|section|subsection|subsubsection|paragraph|subpara
 _TEX_MATH = "equation|align|gather|multline|eqnarray|displaymath|math"
 _TEX_DROP = "documentclass|usepackage|label|ref|eqref|pageref|cite|citep|citet|bibliographystyle|bibliography|pagestyle|thispagestyle|vspace|hspace|include|input"
 
-_ANY = re.compile(r"[<>\\{}\[\]|*_~`#$&]|''|^[-=]{3}|^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]", re.M)
+_ANY = re.compile(r"[<>\\{}\[\]|*_~`#$&]|''|^-{3}|^={2}|^(?: {4}|\t)|^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]", re.M)
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[ \t]*[\w+-]*[ \t]*\r?\n(.*?)(?:^[ \t]*\1[ \t\r]*$|\Z)", re.M | re.S)
 _INDENTED = re.compile(r"(?:\A|(?<=\n\n)|(?<=\n\r\n))(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z)(?:[ \t\r]*\n(?= {4}|\t))?)+")
 _HTML_CODE = re.compile(r"<(pre|code|samp|kbd|tt)\b[^<>]*>(.*?)</\1\s*>", re.I | re.S)

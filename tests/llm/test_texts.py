@@ -47,6 +47,11 @@ def test_markup_keeps_structure(spark):
     assert markup.clean_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, found", [("Plain words.\n\n== Title ==\n\nMore words.", ("wiki", "heading")), ("Plain words.\n\n    total of a\n    and b\n\nMore words.", ("markdown", "code"))])
+def test_markup_without_special_signs(text, found):
+    assert markup.convert(text)[1] == [found]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     assert markup.without_shared_lines("1\n2\n3\nX\nY", "X\nY\n1\nQ\n2\nR\n3") == "X\nY"
     rng = random.Random(5)
