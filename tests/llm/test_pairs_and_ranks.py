@@ -134,6 +134,24 @@ def test_neighbours_reach_the_recall(spark):
     assert sum(len(truth[k] & set(v)) for k, v in got.items()) / (10 * len(x)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_cells_grow_with_the_root_and_a_crowded_cell_is_cut(spark, n):
+    x = _vectors(n, 8)
+    x[: n // 3] = x[0] + 1e-4 * np.random.default_rng(1).normal(size=(n // 3, 8))  # a third of all rows in one spot
+    df = spark.createDataFrame([(k, [float(f) for f in v]) for k, v in enumerate(x)], "chunk_id bigint, embedding array<float>")
+    nv = NearestVectors(df, dim=8, block=32)
+    assert 2 * n**0.5 <= nv.cells <= 8 * n**0.5 and nv.units >= n / 32 and nv.probes < nv.cells
+    got = {}
+    for r in nv.neighbours().collect():
+        got.setdefault(r["id"], []).append((r["position"], r["neighbour"], r["similarity"]))
+    assert set(got) == set(range(n)) and all(sorted(p for p, _, _ in g) == list(range(1, 11)) and k not in {i for _, i, _ in g} for k, g in got.items())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    least = np.sort(s, axis=1)[:, -10] - 1e-6
+    assert np.mean([sum(v >= least[k] for _, _, v in g) for k, g in got.items()]) >= 9
+
+
 def test_neighbours_of_hostile_vectors(spark):
     same = [1.0, 2.0]
     rows = [("a", same), ("b", same), ("c", same), ("d", [2.0, 1.0]), ("e", None), ("f", [0.0, 0.0]), ("g", [float("nan"), 1.0]), ("h", [1.0]), (None, same), ("a", same), ("i", [None, 1.0])]
