@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsight.functions.textops import strip
 from docsight.runtime import checkpoint
 
+from .ranking import positions
+
+#: The most rows of a walk's front that are broadcast; parts that a hub is cut into beyond that.
+FRONT, SALTS = 100_000, 16
+
 #: Patterns of entities and relations, metric words, company suffixes.
 MONEY = r"(?i)\$\s*[\d,]+\.?\d*\s*(?:billion|million|thousand|trillion)?"
 PERCENT = r"(?i)\d+\.?\d*\s*(?:%|percent)"
@@ -94,18 +99,27 @@ def related(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1
     """(seed, node_id, name, entity_type, relation, distance, position): what a breadth-first walk from each seed finds, in its order.
 
     Edges are followed both ways, outgoing first; ``relation`` limits the edges followed. A node is found once, by
-    its first edge. Seeds that are no nodes find nothing. The walk takes ``depth`` joins for any number of seeds.
+    its first edge. Seeds that are no nodes find nothing. The walk takes ``depth`` joins for any number of seeds. Nodes and
+    edges are read at every step: give written tables or checkpoints.
     """
     followed = edges if relation is None else edges.filter(F.col("relation_type") == relation)
     step = followed.select(F.col("src").alias("at"), F.col("dst").alias("next"), "relation_type", F.lit(0).alias("way"), "seq").union(followed.select(F.col("dst").alias("at"), F.col("src").alias("next"), "relation_type", F.lit(1).alias("way"), "seq"))
     start = seeds.select(F.col("node_id").alias("seed")).distinct().join(nodes.select(F.col("node_id").alias("seed")), "seed", "left_semi")
     seen = checkpoint(start.select("seed", F.col("seed").alias("node_id"), F.lit("").alias("relation"), F.lit(0).alias("distance"), F.lit(0).cast("bigint").alias("position")))
+    if depth > 0:
+        step = checkpoint(step.repartition("next"))
     for hop in range(1, depth + 1):
         front = seen.filter(F.col("distance") == hop - 1).select("seed", F.col("node_id").alias("at"), F.col("position").alias("parent"))
-        reached = front.join(step, "at").join(seen.select("seed", F.col("node_id").alias("next")), ["seed", "next"], "left_anti")
+        if front.count() <= FRONT:
+            reached = step.join(F.broadcast(front), "at")  # edges stay where their far ends are, so a hub is no single task
+        else:
+            salted = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            reached = step.withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")).join(salted, ["at", "salt"])
         once = reached.groupBy("seed", "next").agg(F.min(F.struct("parent", "way", "seq", "relation_type")).alias("f"))
+        once = checkpoint(once.join(seen.select("seed", F.col("node_id").alias("next")), ["seed", "next"], "left_anti"))
         base = seen.groupBy("seed").agg(F.max("position").alias("base"))
-        new = once.join(base, "seed").select("seed", F.col("next").alias("node_id"), F.col("f.relation_type").alias("relation"), F.lit(hop).alias("distance"), (F.col("base") + F.row_number().over(Window.partitionBy("seed").orderBy("f.parent", "f.way", "f.seq", "next"))).alias("position"))
+        placed = positions(once, ["seed"], [F.col("f.parent"), F.col("f.way"), F.col("f.seq"), F.col("next")], "p").join(base, "seed")
+        new = placed.select("seed", F.col("next").alias("node_id"), F.col("f.relation_type").alias("relation"), F.lit(hop).alias("distance"), (F.col("base") + F.col("p")).alias("position"))
         seen = checkpoint(seen.unionByName(new))
     named = nodes.select("node_id", F.coalesce("name", "node_id").alias("name"), F.coalesce("entity_type", F.lit("")).alias("entity_type"))
     return seen.filter("distance > 0").join(named, "node_id").select("seed", "node_id", "name", "entity_type", "relation", "distance", "position")

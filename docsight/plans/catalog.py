@@ -166,7 +166,7 @@ def hash_embed(spark, d):
 @query
 def bm25_topk(spark, d):
     index = sparse.build_index(_corpus(spark, d))
-    found = sparse.top(sparse.scores(index, _questions(spark, d)), 10)
+    found = sparse.best(index, _questions(spark, d), 10)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "rank")
 
 
@@ -313,8 +313,13 @@ def ir_averages(spark, d):
 
 def _graph(spark, d):
     docs = table(spark, d, "documents")
-    nodes, edges = graph.build_graph(graph.extract_entities(docs, source_col="source_file"), graph.extract_relations(docs))
-    return nodes, edges
+    return graph.build_graph(graph.extract_entities(docs, source_col="source_file"), graph.extract_relations(docs))
+
+
+def _kept_graph(spark, d):
+    """The graph written once, for walks, which read it at every step."""
+    nodes, edges = _graph(spark, d)
+    return checkpoint(nodes), checkpoint(edges)
 
 
 @query
@@ -351,25 +356,24 @@ def _seeds(spark, d):
 
 @query
 def kg_related(spark, d):
-    """Two steps along competitors alone; ``kg_related_d2`` follows every relation."""
-    found = graph.related(_seeds(spark, d), *_graph(spark, d), 2, "competes_with")
-    return found.select("seed", "node_id", "distance")
+    """Two steps along every relation, through the hubs as well."""
+    return graph.related(_seeds(spark, d), *_kept_graph(spark, d), 2).select("seed", "node_id", "distance", "position")
 
 
 @query
-def kg_related_d2(spark, d):
-    """Two steps along every relation, through the hubs as well."""
-    return graph.related(_seeds(spark, d), *_graph(spark, d), 2).select("seed", "node_id", "distance")
+def kg_rivals(spark, d):
+    """Two steps along competitors alone."""
+    return graph.related(_seeds(spark, d), *_kept_graph(spark, d), 2, "competes_with").select("seed", "node_id", "distance")
 
 
 @query
 def kg_context(spark, d):
-    return graph.context(graph.related(_seeds(spark, d), *_graph(spark, d), 2))
+    return graph.context(graph.related(_seeds(spark, d), *_kept_graph(spark, d), 2))
 
 
 @query
 def kg_summary(spark, d):
-    return graph.summary(*_graph(spark, d), _seeds(spark, d)).groupBy("node_id", "direction", "relation_type").agg(F.count("*").alias("n"), F.min("other_name").alias("first"), F.max("other_name").alias("last"))
+    return graph.summary(*_kept_graph(spark, d), _seeds(spark, d)).groupBy("node_id", "direction", "relation_type").agg(F.count("*").alias("n"), F.min("other_name").alias("first"), F.max("other_name").alias("last"))
 
 
 @query

@@ -151,15 +151,32 @@ firms AS (SELECT * FROM documents WHERE company_name != ''),
 links AS ({names(SUBSIDIARY, "subsidiary_of", "'company::' || nm", company, 0)}
   UNION ALL {names(COMPETES, "competes_with", company, "'company::' || nm", 1)}
   UNION ALL {names(OPERATES, "operates_in", company, "'location::' || nm", 2)}
-  UNION ALL SELECT DISTINCT doc_id, {company}, 'financial_metric::' || lower({_strip('m')}), 'reports', '', 3, 0 FROM (SELECT doc_id, company_name, unnest(regexp_extract_all(text, {_q(METRIC)})) AS m FROM firms WHERE text IS NOT NULL)
+  UNION ALL SELECT doc_id, {company}, 'financial_metric::' || lower({_strip('m')}), 'reports', '', 3, min(i) FROM (SELECT doc_id, company_name, unnest(found) AS m, generate_subscripts(found, 1) AS i FROM (SELECT doc_id, company_name, regexp_extract_all(text, {_q(METRIC)}) AS found FROM firms WHERE text IS NOT NULL)) GROUP BY ALL
   UNION ALL SELECT doc_id, {company}, 'filing_section::' || section, 'mentioned_in', '', 4, 0 FROM firms WHERE coalesce(section, '') != '' AND text IS NOT NULL)"""
 
 
 _GRAPH = f"""{_mentions()}, {_edges()},
 named AS (SELECT entity_type || '::' || name AS node_id, name, entity_type FROM mentions GROUP BY ALL),
-edges AS (SELECT src, dst, arg_max(relation_type, doc_id * 10000000.0 + kind_no * 100000 + i) AS relation_type, arg_max(source_text, doc_id * 10000000.0 + kind_no * 100000 + i) AS source_text FROM links GROUP BY ALL),
+edges AS (SELECT src, dst, arg_max(relation_type, doc_id * 10000000.0 + kind_no * 100000 + i) AS relation_type, arg_max(source_text, doc_id * 10000000.0 + kind_no * 100000 + i) AS source_text, min(doc_id * 10000000 + kind_no * 100000 + i) AS seq FROM links GROUP BY ALL),
 nodes AS (SELECT node_id, name, entity_type FROM named UNION ALL SELECT node_id, NULL, NULL FROM (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges) WHERE node_id NOT IN (SELECT node_id FROM named)),
 seeds AS (SELECT DISTINCT 'company::' || company_name AS node_id FROM filings WHERE filing_id % 50 = 0 AND company_name != '')"""
+
+
+def _walk(where: str = "") -> str:
+    """What a breadth-first walk of two steps finds, in its order: outgoing edges first, then by first write."""
+    key = "(parent::HUGEINT * 2 + way) * 1000000000000000 + seq"
+    return f"""
+step AS (SELECT src AS origin, dst AS nxt, relation_type, 0 AS way, seq FROM edges {where} UNION ALL SELECT dst, src, relation_type, 1, seq FROM edges {where}),
+s AS (SELECT node_id AS seed FROM seeds WHERE node_id IN (SELECT node_id FROM nodes)),
+hop1 AS (SELECT seed, nxt AS node_id, min({key}) AS k, arg_min(relation_type, {key}) AS relation FROM (SELECT *, 0 AS parent FROM s JOIN step ON origin = seed WHERE nxt != seed) GROUP BY ALL),
+one AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, node_id) AS position FROM hop1),
+hop2 AS (SELECT seed, nxt AS node_id, min({key}) AS k, arg_min(relation_type, {key}) AS relation FROM (SELECT o.seed, o.position AS parent, t.* FROM one o JOIN step t ON origin = o.node_id WHERE nxt != o.seed) GROUP BY ALL),
+new AS (SELECT * FROM hop2 h WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.seed = h.seed AND o.node_id = h.node_id)),
+base AS (SELECT seed, count(*) AS n FROM one GROUP BY seed),
+two AS (SELECT seed, node_id, k, relation, n + row_number() OVER (PARTITION BY seed ORDER BY k, node_id) AS position FROM new JOIN base USING (seed)),
+walked AS (SELECT seed, node_id, relation, 1::INT AS distance, position FROM one UNION ALL SELECT seed, node_id, relation, 2::INT, position FROM two)"""
+
+
 _JUDGED = """
 best AS (SELECT query_id, leg, chunk_id, max(score) AS score FROM results WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS rank FROM best WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL)"""
@@ -232,8 +249,11 @@ SELECT doc_id, window_no, start_char, md5(piece) AS digest FROM w WHERE piece !=
     "kg_edges": f"WITH {_GRAPH} SELECT src, dst, relation_type, source_text FROM edges",
     "kg_nodes": f"WITH {_GRAPH}, docs AS (SELECT entity_type || '::' || name AS node_id, arg_max(coalesce(source_file, ''), doc_id) AS source_document, max(CASE WHEN entity_type IN ('monetary_amount', 'percentage', 'date') THEN name END) AS raw FROM mentions GROUP BY 1) SELECT node_id, name, entity_type, source_document, raw FROM nodes LEFT JOIN docs USING (node_id)",
     "kg_degree": f"WITH {_GRAPH}, e AS (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges), c AS (SELECT node_id, count(*) AS n FROM e GROUP BY ALL) SELECT node_id, coalesce(n, 0)::BIGINT AS degree FROM nodes LEFT JOIN c USING (node_id)",
-    "kg_related": f"WITH {_GRAPH}, both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE relation_type = 'competes_with' UNION SELECT dst, src FROM edges WHERE relation_type = 'competes_with'), s AS (SELECT node_id AS seed FROM seeds WHERE node_id IN (SELECT node_id FROM nodes)), one AS (SELECT DISTINCT seed, b AS node_id FROM s JOIN both_ways ON a = seed WHERE b != seed), two AS (SELECT DISTINCT seed, b AS node_id FROM one JOIN both_ways ON a = one.node_id WHERE b != seed EXCEPT SELECT * FROM one) SELECT seed, node_id, 1::INT AS distance FROM one UNION ALL SELECT seed, node_id, 2::INT FROM two",
-    "kg_related_d2": f"WITH {_GRAPH}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT node_id AS seed FROM seeds WHERE node_id IN (SELECT node_id FROM nodes)), one AS (SELECT DISTINCT seed, b AS node_id FROM s JOIN both_ways ON a = seed WHERE b != seed), two AS (SELECT DISTINCT seed, b AS node_id FROM one JOIN both_ways ON a = one.node_id WHERE b != seed EXCEPT SELECT * FROM one) SELECT seed, node_id, 1::INT AS distance FROM one UNION ALL SELECT seed, node_id, 2::INT FROM two",
+    "kg_related": f"WITH {_GRAPH}, {_walk()} SELECT seed, node_id, distance, position FROM walked",
+    "kg_rivals": f"""WITH {_GRAPH}, {_walk("WHERE relation_type = 'competes_with'")} SELECT seed, node_id, distance FROM walked""",
+    "kg_context": f"""WITH {_GRAPH}, {_walk()}
+SELECT seed, 'Knowledge Graph Context for ' || regexp_replace(seed, '^[^:]*::', '') || ':' || chr(10) || string_agg('  - [' || relation || '] ' || coalesce(name, node_id) || ' (type: ' || coalesce(entity_type, '') || ', hops: ' || distance::VARCHAR || ')', chr(10) ORDER BY position) AS context
+FROM walked JOIN nodes USING (node_id) WHERE position <= 20 GROUP BY seed""",
     "kg_summary": f"WITH {_GRAPH}, ends AS (SELECT src AS node_id, 'out' AS direction, relation_type, dst AS other FROM edges UNION ALL SELECT dst, 'in', relation_type, src FROM edges) SELECT e.node_id, direction, relation_type, count(*) AS n, min(coalesce(n.name, e.other)) AS first, max(coalesce(n.name, e.other)) AS last FROM ends e JOIN nodes n ON n.node_id = e.other WHERE e.node_id IN (SELECT node_id FROM seeds) GROUP BY ALL",
     "kg_stored_degree": "WITH e AS (SELECT DISTINCT 'filing::' || source_document AS src, node_id AS dst FROM entities WHERE source_document IS NOT NULL) SELECT node_id, count(*)::BIGINT AS degree FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY ALL",
     "guard_factual": f"WITH {_ANSWERS}, {_PARTS}, {_FACTUAL} SELECT answer_id, severity, message, span FROM factual",

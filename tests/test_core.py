@@ -14,6 +14,7 @@ from docsight.config import EngineConfig
 from docsight.functions import textops as t
 from docsight.functions import vectors as v
 from docsight.operators import chunking, dense, embedding, fusion, generate, graph, guardrails, metrics, retrieve, sections, sparse, units
+from docsight.operators.ranking import positions
 from docsight.plans import catalog
 from docsight.plans.engine import Engine
 from docsight.sources import filings, tables
@@ -130,6 +131,53 @@ def test_bm25_model(spark):
     assert sparse.search(sparse.build_index(df.limit(0)), asked, 2).count() == 0
 
 
+def test_the_best_are_the_first_of_all_scores(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(f"c{k:04d}", " ".join(["the", *rng.choices(words, k=rng.randint(0, 12))])) for k in range(1500)] + [("null", None), ("z", "w1 " * 20_000)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string").repartition(3)
+    index = sparse.build_index(df)
+    asked = spark.createDataFrame([(q, v, " ".join(["the", *rng.choices([*words, "absent"], k=5)])) for q in range(40) for v in range(2)] + [(99, 0, None), (98, 0, "")], "query_id int, variant_no int, query string")
+    allowed = df.filter("chunk_id < 'c0900'").select("chunk_id")
+    cols = ("query_id", "variant_no")
+    whole = {k: [tuple(r) for r in sparse.top(x, 7, cols, "share").select(*cols, "rank", "chunk_id", "score", "share").collect()] for k, x in (("all", sparse.scores(index, asked, cols)), ("some", sparse.scores(index, asked, cols).join(allowed, "chunk_id", "left_semi")))}
+    for limit in (400_000, 100):
+        monkeypatch.setattr(sparse, "PASS_TERMS", limit)
+        for k, some in (("all", None), ("some", allowed)):
+            got = [tuple(r) for r in sparse.best(index, asked, 7, some, cols).select(*cols, "rank", "chunk_id", "score", "share").collect()]
+            assert sorted(got) == sorted(whole[k]) and len(got) == 80 * 7
+
+
+def test_index_is_read_back(spark, tmp_path):
+    index = sparse.build_index(spark.createDataFrame(CORPUS, "chunk_id string, text string"))
+    index.save(str(tmp_path))
+    asked = spark.createDataFrame([(1, "income in the fleet")], "query_id int, query string")
+    assert sorted(sparse.best(sparse.load_index(spark, str(tmp_path)), asked, 3).collect()) == sorted(sparse.best(index, asked, 3).collect())
+    halves = lambda c: F.split(F.lower(c), "(?<=^..)")  # noqa: E731 - any tokenizer will do
+    own = sparse.build_index(spark.createDataFrame([("a", "abxx"), ("b", "cdyy")], "chunk_id string, text string"), tokenizer=halves)
+    assert [r["chunk_id"] for r in sparse.best(own, spark.createDataFrame([(1, "ABzz")], "query_id int, query string"), 3, tokenizer=halves).collect()] == ["a"]
+
+
+def test_positions_in_a_crowded_group(spark):
+    df = spark.range(3000).selectExpr("if(id < 2500, null, id % 3) AS g", "id", "'x' AS part").repartition(4)
+    got = {}
+    for r in positions(df, ["g"], [F.col("id").desc()]).collect():
+        got.setdefault(r["g"], []).append((r["position"], r["id"]))
+    assert set(got) == {None, 0, 1, 2}
+    for rows in got.values():
+        assert [p for p, _ in sorted(rows)] == list(range(1, len(rows) + 1)) and [i for _, i in sorted(rows)] == sorted((i for _, i in rows), reverse=True)
+    assert positions(df.limit(0), ["g"], [F.col("id")]).count() == 0
+
+
+def test_a_walk_beyond_the_broadcast_bound_is_the_same(spark, monkeypatch):
+    edges = spark.range(300).selectExpr("concat('n', id) AS src", "if(id % 3 = 0, 'hub', concat('n', id + 1)) AS dst", "'x' AS relation_type", "'' AS source_text", "named_struct('doc_id', id, 'seq', 0) AS seq")
+    nodes = edges.selectExpr("explode(array(src, dst)) AS node_id").distinct().selectExpr("node_id", "node_id AS name", "'t' AS entity_type")
+    seeds = nodes.filter("node_id IN ('n3', 'n7', 'hub')")
+    small = sorted(graph.related(seeds, nodes, edges, 2).collect())
+    monkeypatch.setattr(graph, "FRONT", 0)
+    assert sorted(graph.related(seeds, nodes, edges, 2).collect()) == small and len(small) > 300
+
+
 def test_dense_search(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("s", [1.0])]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
@@ -234,7 +282,7 @@ def test_registered_walks_follow_every_relation_two_steps(spark, tmp_path):
     rows = [(1, "Revenue rose.", "Acme", "MD&A", "a.txt"), (2, "Revenue fell. We compete with Gamma.", "Beta", "Risk Factors", "b.txt")]
     spark.createDataFrame(rows, "doc_id bigint, text string, company_name string, section string, source_file string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(50, "Acme")], "filing_id bigint, company_name string").write.parquet(f"{tmp_path}/filings.parquet")
-    found = {(r["node_id"], r["distance"]) for r in catalog.QUERIES["kg_related_d2"](spark, str(tmp_path)).collect()}
+    found = {(r["node_id"], r["distance"]) for r in catalog.QUERIES["kg_related"](spark, str(tmp_path)).collect()}
     assert found == {("financial_metric::revenue", 1), ("filing_section::MD&A", 1), ("company::Beta", 2)}
     assert "company::Beta" in catalog.QUERIES["kg_context"](spark, str(tmp_path)).first()["context"]
 
