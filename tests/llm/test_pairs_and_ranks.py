@@ -111,6 +111,61 @@ def linked(spark):
     return {(r["kind"], r["name"]): r["ref_id"] for r in out.collect()}
 
 
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_are_levenshteins():
+    rng = random.Random(2)
+    words = ["", "x" * 300, *["".join(rng.choices("abcdé", k=rng.randint(1, 30))) for _ in range(200)]]
+    pivots = ["", "a", "b" * 63, *words[5:9]]
+    assert names.distances(words, pivots).tolist() == [[min(255, _levenshtein(w, p)) for p in pivots] for w in words]
+    assert names.distances([], pivots).shape == (0, len(pivots))
+
+
+def test_radius_join_equals_brute_force(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdef", k=rng.randint(4, 22))) for _ in range(150)]
+
+    def typed(w):
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w) + 1)
+            w = w[:k] + rng.choice(["", rng.choice("abcdef")]) + w[k + rng.randint(0, 1) :]
+        return w
+
+    targets = [(s, w) for w in base for s in (["one"] if len(w) % 3 else ["one", "two"])]
+    asked = [(s, typed(rng.choice(base)), r) for s in ("one", "two", "none") for r in (0, 1, 2, 4) for _ in range(150)] + [("one", "z" * 5000, 4), ("one", "", 2)]
+    got = {(r["space"], r["q"], r["key"], r["distance"]) for r in names.radius_join(spark.createDataFrame(asked, "space string, key string, radius int"), spark.createDataFrame(targets + targets[:9], "space string, key string")).collect()}
+    widest = {}
+    for s, q, r in asked:
+        widest[s, q] = max(r, widest.get((s, q), 0))
+    truth = {(s, q, t, _levenshtein(q, t)) for (s, q), r in widest.items() if len(q) < 99 for u, t in targets if u == s and _levenshtein(q, t) <= r}
+    assert got == truth and len(truth) > 200
+
+
+def test_words_are_told_from_the_registry():
+    lexicon = names.Lexicon(["insurance", "instruments", "international", "manufacturing", "technologies", "bank"], ["timothy", "margaret"])
+    meant = lambda w: lexicon.meant(w)[0]
+    assert (meant("ins"), meant("intl"), meant("mfg"), meant("technology"), meant("bk"), meant("zz")) == (["instruments", "insurance"], ["international"], ["manufacturing"], ["technologies"], ["bank"], ["zz"])
+    assert "timothy" in lexicon.given_names("timmy") and "margaret" in lexicon.given_names("peggy") and lexicon.given_names("odile") == ["odile"]
+    assert names.Lexicon(given=["timothy"], nicknames={}).given_names("tim") == ["tim", "timothy"]
+
+
+def test_words_around_typed_names_are_learned(spark):
+    rng = random.Random(6)
+    own = ["".join(rng.choices("bdfgklmnprst", k=9)) + rng.choice(["avo", "ixe", "oru"]) for _ in range(60)]
+    registry = spark.createDataFrame([(k, "company", f"{w.capitalize()} Foods Inc.", None) for k, w in enumerate(own)], "ref_id bigint, entity_type string, name string, former_name string")
+    typed = [("company", f"Quarrel over {w.capitalize()} Foods, Inc.") for w in own[:30]]
+    out = {r["name"]: r["ref_id"] for r in names.link_names(spark.createDataFrame(typed, "kind string, name string"), registry).collect()}
+    assert out == {n: k for k, (_, n) in enumerate(typed)}
+
+
 def _vectors(n=700, dim=16, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(20, dim))
