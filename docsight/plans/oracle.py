@@ -6,6 +6,8 @@ from docsight.functions.textops import ENTITIES
 from docsight.operators.graph import COMPANY, COMPETES, DATE, METRIC, MONEY, OPERATES, PERCENT, SUBSIDIARY
 from docsight.operators.sections import SECTIONS
 
+from .chunk_sql import CHUNKS
+
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NUMBER = r"(?i)\$?\s*\d[\d,]*\.?\d*\s*(?:billion|million|thousand|trillion|%|percent)?"
 _CLAIM = (
@@ -187,13 +189,14 @@ h AS (SELECT query_id, sum((rank <= 5)::INT) AS hits, min(rank) AS first, sum(CA
 m AS (SELECT query_id, coalesce(hits / 5.0, 0) AS p, coalesce(hits / n.n::DOUBLE, 0) AS r, coalesce(1.0 / first, 0) AS rr,
   coalesce(gain / list_sum(list_transform(range(1, least(n.n, 5) + 1), lambda i: 1 / log2(i + 1))), 0) AS g
   FROM (SELECT DISTINCT query_id FROM queries) LEFT JOIN n USING (query_id) LEFT JOIN h USING (query_id))"""
+_KNOWN = f"""sourced AS (SELECT *, coalesce(array_to_string(sources, ' '), '') AS src FROM answers),
+known AS (SELECT *, lower(src) AS low, list_filter(list_transform({_numbers("src")}, lambda n: {_value("n")}), lambda x: x IS NOT NULL) AS vals FROM sourced)"""
 _ANSWERS = f"""{_CORPUS}, {_JUDGED},
 texts AS (SELECT chunk_id, coalesce(text, '') AS text FROM corpus),
 answers AS (SELECT q.query_id AS answer_id, q.query, b.text || ' ' || q.query AS answer, coalesce(s.sources, []) AS sources FROM queries q
   JOIN (SELECT query_id, text FROM ranked JOIN texts USING (chunk_id) WHERE leg = 'rerank' AND rank = 1) b USING (query_id)
   LEFT JOIN (SELECT query_id, list(text ORDER BY rank) AS sources FROM ranked JOIN texts USING (chunk_id) WHERE leg = 'dense' AND rank <= 5 GROUP BY ALL) s USING (query_id)),
-sourced AS (SELECT *, coalesce(array_to_string(sources, ' '), '') AS src FROM answers),
-known AS (SELECT *, lower(src) AS low, list_filter(list_transform({_numbers("src")}, lambda n: {_value("n")}), lambda x: x IS NOT NULL) AS vals FROM sourced)"""
+{_KNOWN}"""
 _PARTS = f"sents AS (SELECT answer_id, low, s, {_tokens('s', '{4,}')} AS w FROM (SELECT answer_id, low, unnest({_sentences('answer')}) AS s FROM known))"
 _FACTUAL = f"""factual AS (SELECT answer_id, CASE WHEN o < 0.1 THEN 'high' ELSE 'medium' END AS severity, 'Sentence may not be grounded in sources (overlap=' || CAST(round_even(o * 100, 0) AS INT)::VARCHAR || '%).' AS message, substring(s, 1, 200) AS span
   FROM (SELECT answer_id, s, len(list_filter(w, lambda x: contains(low, x)))::DOUBLE / len(w) AS o FROM sents WHERE len(w) > 0 AND length(s) >= 20 AND NOT regexp_matches(s, '^(?i)(?:based on|according to|the sources|as mentioned)')) WHERE o < 0.3)"""
@@ -210,7 +213,92 @@ _FORM = r"""form AS (
 _FINDINGS = f"{_PARTS}, {_FACTUAL}, {_CLAIMED}, {_COUNTED}, {_NUMERIC}, {_FORM}"
 _BLOCK = "'Section: ' || coalesce(section, 'Unknown') || chr(10) || 'Company: ' || coalesce(company_name, 'Unknown') || chr(10) || 'Filing Date: ' || coalesce(filing_date, 'Unknown') || chr(10) || 'Content:' || chr(10) || substring(coalesce(text, ''), 1, 3000) || chr(10) || '---'"
 
+
+
+def _mmr(k: int, trade: float) -> str:
+    """CTEs over ``cand`` (query_id, chunk_id, rank, near, score) and ``sim`` (query_id, a, b, sim) that end in ``picked`` (query_id, chunk_id, score, rank)."""
+    value = lambda worst: f"row_number() OVER (PARTITION BY query_id ORDER BY round({trade} * near - {1 - trade} * {worst}, 12) DESC, rank) = 1"
+    out = [
+        f"many AS (SELECT * FROM cand WHERE query_id IN (SELECT query_id FROM cand GROUP BY query_id HAVING count(*) > {k}))",
+        f"taken0 AS (SELECT query_id, chunk_id, near, 1 AS n FROM many QUALIFY {value(0)})",
+    ]
+    for n in range(1, k):
+        t = f"taken{n - 1}"
+        left = f"SELECT m.query_id, m.chunk_id, m.near, m.rank, max(s.sim) AS worst FROM many m JOIN {t} t ON t.query_id = m.query_id JOIN sim s ON s.query_id = m.query_id AND s.a = m.chunk_id AND s.b = t.chunk_id WHERE NOT EXISTS (SELECT 1 FROM {t} x WHERE x.query_id = m.query_id AND x.chunk_id = m.chunk_id) GROUP BY ALL"
+        out.append(f"taken{n} AS (SELECT * FROM {t} UNION ALL SELECT query_id, chunk_id, near, {n + 1} FROM ({left}) QUALIFY {value('worst')})")
+    out.append(f"picked AS (SELECT query_id, chunk_id, near AS score, n::INT AS rank FROM taken{k - 1} UNION ALL SELECT query_id, chunk_id, score, rank::INT FROM cand WHERE query_id NOT IN (SELECT query_id FROM many))")
+    return ",\n".join(out)
+
+
+_MMR_SELECT = f"""
+WITH e AS (SELECT vec_id, vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, e.chunk_id, e.v, round(list_cosine_similarity(q.v, e.v), 9) AS score, list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v)) + 1e-10) AS near FROM e q, e WHERE q.vec_id % 50 = 0),
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 15),
+sim AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v)) + 1e-10) AS sim FROM cand x JOIN cand y USING (query_id)),
+{_mmr(5, 0.3)}
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM picked"""
+
+#: Each question by the strategy that it names.
+_STRATEGIES = f"""
+WITH {_CORPUS}, {_INDEX},
+qs AS (SELECT query_id, query, CASE WHEN strategy IN ('dense', 'sparse', 'mmr') THEN strategy ELSE 'ensemble' END AS strategy FROM queries),
+variants AS (SELECT query_id, strategy, 0 AS variant_no, query FROM qs UNION ALL SELECT query_id, strategy, 1, 'What does the 10-K filing say about: ' || query FROM qs
+  UNION ALL SELECT query_id, strategy, 2, 'financial data related to ' || query FROM qs UNION ALL SELECT query_id, strategy, 3, 'SEC filing information: ' || query FROM qs),
+kids AS (SELECT query_id * 10 + variant_no AS kid, query_id, variant_no, strategy, query FROM variants WHERE strategy != 'sparse' AND (strategy != 'ensemble' OR variant_no = 0)),
+{_hashed("hc", "corpus", "chunk_id", "text")}, {_hashed("hq", "kids", "kid", "query")},
+cosines AS ({_cosines("hq", "kid", "hc", "chunk_id")}),
+near AS (SELECT k.*, chunk_id, score, row_number() OVER (PARTITION BY kid ORDER BY score DESC, chunk_id) AS rank FROM cosines JOIN kids k USING (kid)),
+seen AS (SELECT query_id, strategy, chunk_id, arg_min(score, variant_no * 1000 + rank) AS score FROM near WHERE score >= 0.3 AND ((strategy = 'dense' AND rank <= 5) OR (strategy = 'mmr' AND rank <= 15)) GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM seen),
+cand AS (SELECT o.query_id, o.chunk_id, o.rank, o.score, coalesce(c.score, 0) AS near FROM ordered o LEFT JOIN cosines c ON c.kid = o.query_id * 10 AND c.chunk_id = o.chunk_id WHERE strategy = 'mmr' AND rank <= 15),
+sim AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, coalesce(dot / (n.norm * m.norm), 0) AS sim FROM cand x JOIN cand y USING (query_id) JOIN hc n ON n.chunk_id = x.chunk_id JOIN hc m ON m.chunk_id = y.chunk_id
+  LEFT JOIN (SELECT l.chunk_id AS p, r.chunk_id AS q, sum(l.c * r.c)::DOUBLE AS dot FROM hc_b l JOIN hc_b r USING (b) WHERE l.chunk_id IN (SELECT chunk_id FROM cand) AND r.chunk_id IN (SELECT chunk_id FROM cand) GROUP BY ALL) ON p = x.chunk_id AND q = y.chunk_id),
+{_mmr(5, 0.3)},
+words_asked AS (SELECT query_id, variant_no, query FROM variants WHERE strategy = 'sparse' OR (strategy = 'ensemble' AND variant_no = 0)),
+{_scored("words_asked", "query_id, variant_no")},
+sparse AS (SELECT query_id, variant_no, chunk_id, share, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY share DESC, chunk_id) AS rank FROM shares),
+first_sparse AS (SELECT query_id, chunk_id, arg_min(share, variant_no * 1000 + rank) AS score FROM sparse JOIN qs USING (query_id) WHERE strategy = 'sparse' AND rank <= 5 GROUP BY ALL),
+parts AS (SELECT query_id, chunk_id, 0.6::DOUBLE / (60 + rank) AS part FROM near WHERE strategy = 'ensemble' AND rank <= 15 AND score >= 0.3 UNION ALL SELECT query_id, chunk_id, 0.4::DOUBLE / (60 + rank) FROM sparse JOIN qs USING (query_id) WHERE strategy = 'ensemble' AND rank <= 15),
+found AS (SELECT query_id, chunk_id, score, 'dense' AS strategy FROM ordered WHERE strategy = 'dense' UNION ALL SELECT *, 'sparse' FROM first_sparse UNION ALL SELECT query_id, chunk_id, round(sum(part), 12), 'ensemble' FROM parts GROUP BY ALL),
+placed AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, strategy FROM found QUALIFY rank <= 5)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank, strategy FROM placed UNION ALL SELECT query_id, chunk_id, round(score, 6), rank, 'mmr' FROM picked"""
+
+_COMPRESS = f"""
+WITH {_CORPUS}, retrieved AS (SELECT DISTINCT query_id, chunk_id FROM results JOIN (SELECT DISTINCT query_id FROM queries) USING (query_id) WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan')),
+texts AS (SELECT chunk_id, text, {_sentences("text")} AS ss FROM corpus WHERE chunk_id IN (SELECT chunk_id FROM retrieved)),
+sents AS (SELECT chunk_id, i, s, chunk_id || '#' || i AS sid FROM (SELECT chunk_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM texts WHERE len(ss) > 3)),
+{_hashed("hs", "sents", "sid", "s")}, {_hashed("hq", "queries", "query_id", "query")},
+dots AS (SELECT r.query_id, x.sid, sum(l.c * q.c)::DOUBLE AS dot FROM retrieved r JOIN sents x USING (chunk_id) JOIN hs_b l ON l.sid = x.sid JOIN hq_b q ON q.query_id = r.query_id AND q.b = l.b GROUP BY ALL),
+near AS (SELECT r.query_id, x.chunk_id, x.i, x.s, coalesce(round(dot / (hs.norm * hq.norm), 12), 0) AS near FROM retrieved r JOIN sents x USING (chunk_id) LEFT JOIN dots d ON d.query_id = r.query_id AND d.sid = x.sid LEFT JOIN hs ON hs.sid = x.sid LEFT JOIN hq ON hq.query_id = r.query_id),
+kept AS (SELECT query_id, chunk_id, string_agg(s, ' ' ORDER BY i) AS text FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near DESC, i) <= 3) GROUP BY ALL)
+SELECT r.query_id, r.chunk_id, coalesce(k.text, t.text) AS text FROM retrieved r JOIN texts t USING (chunk_id) LEFT JOIN kept k ON k.query_id = r.query_id AND k.chunk_id = r.chunk_id"""
+
+_LINES = f"""
+lists AS (SELECT query_id, list(coalesce(text, '') ORDER BY rank) AS texts FROM found GROUP BY ALL),
+split AS (SELECT query_id, query, i, {_sentences("t")} AS ss FROM (SELECT query_id, query, unnest(texts) AS t, generate_subscripts(texts, 1) AS i FROM lists JOIN queries USING (query_id))),
+lines AS (SELECT query_id, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j, list_distinct({_tokens("query", "{4,}")}) AS w FROM split),
+shared AS (SELECT query_id, i, j, s, len(list_intersect(w, list_distinct({_tokens("s", "{4,}")}))) AS o FROM lines),
+best AS (SELECT query_id, string_agg(s || ' [Source ' || i || ']', ' ' ORDER BY o DESC, i, j) AS answer FROM (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, i, j) <= 3) GROUP BY ALL),
+said AS (SELECT q.query_id, q.query, CASE WHEN l.texts IS NULL THEN 'No relevant passage was found in the indexed filings for this question.' ELSE coalesce(b.answer, '') END AS answer, coalesce(l.texts, []) AS texts
+  FROM queries q LEFT JOIN lists l ON l.query_id = q.query_id LEFT JOIN best b ON b.query_id = q.query_id)"""
+_GENERATED = f"""WITH {_CORPUS}, {_INDEX}, {_scored("queries")},
+found AS (SELECT query_id, rank, text FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, chunk_id) AS rank FROM shares QUALIFY rank <= 5) JOIN corpus USING (chunk_id)), {_LINES}
+SELECT query_id, answer, 'extractive' AS model, len(texts) > 0 AS has_sources FROM said"""
+_CHECKED = f"""answers AS (SELECT query_id AS answer_id, query, answer, texts AS sources FROM said WHERE len(texts) > 0), {_KNOWN}, {_FINDINGS},
+notes AS (SELECT answer_id, severity FROM factual UNION ALL SELECT answer_id, severity FROM claimed UNION ALL SELECT answer_id, severity FROM numeric_ UNION ALL SELECT answer_id, severity FROM form),
+per AS (SELECT answer_id, sum(CASE severity WHEN 'low' THEN 0.02 WHEN 'medium' THEN 0.08 ELSE 0.15 END::DOUBLE) AS cost, count(*) AS findings FROM notes GROUP BY ALL),
+judged AS (SELECT answer_id AS query_id, round(greatest(0, least(1, 1 - coalesce(cost, 0))), 9) AS confidence, coalesce(findings, 0)::BIGINT AS findings FROM answers LEFT JOIN per USING (answer_id))"""
+_RAG = f"""{_hybrid(5, 15, 0.6, 0.4, "AND score >= 0.3").rsplit("SELECT * FROM placed", 1)[0]},
+found AS (SELECT p.query_id, p.rank, c.text FROM placed p JOIN corpus c USING (chunk_id) WHERE p.rank <= 5), {_LINES}, {_CHECKED}
+SELECT s.query_id, query, answer, len(texts) > 0 AS has_sources, confidence, confidence >= 0.7 AS passed, findings FROM said s LEFT JOIN judged j USING (query_id)"""
+
 ORACLE: dict[str, str] = {
+    **CHUNKS,
+    "mmr_select": _MMR_SELECT,
+    "strategy_results": _STRATEGIES,
+    "sentence_compress": _COMPRESS,
+    "generated_answers": _GENERATED,
+    "rag_answers": _RAG,
     "clean_documents": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "filing_header": rf"""
 WITH made AS (SELECT DISTINCT filing_id, concat_ws(chr(10), 'COMPANY CONFORMED NAME: ' || company_name, 'CENTRAL INDEX KEY: ' || cik, 'FILED AS OF DATE: ' || regexp_replace(filing_date, '[^0-9]', '', 'g'), 'ACCESSION NUMBER: ' || accession_number) AS text FROM filings),
