@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from dataclasses import dataclass, fields, replace
 
@@ -32,6 +33,7 @@ class EngineConfig:
     llm_max_tokens: int = 4096
     requests_per_second: float = 10.0
     log_level: str = "INFO"
+    vocabulary: str = ""
 
     def __post_init__(self) -> None:
         def within(name: str, low: float, high: float = float("inf")) -> None:
@@ -53,6 +55,17 @@ class EngineConfig:
         if self.log_level.upper() not in ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"):
             raise ValueError("unknown log level")
 
+    def missing_keys(self) -> list[str]:
+        """The environment variables that the chosen back ends need and that are not set; the built-in ones need none."""
+        needed = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY"}
+        return sorted({needed[p] for p in (self.embedding_provider, self.llm_provider) if p in needed and not os.environ.get(needed[p])})
+
+    def configure_logging(self) -> logging.Logger:
+        """The package's logger at ``log_level``."""
+        logger = logging.getLogger("docsight")
+        logger.setLevel(self.log_level.upper())
+        return logger
+
     @classmethod
     def from_environment(cls, **given) -> EngineConfig:
         read = {}

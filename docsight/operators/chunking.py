@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,15 +119,25 @@ def with_offsets(pieces: list[str], text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def count_tokens(text: str) -> int:
-    return len(_COUNTED.findall(text))
+def count_tokens(text: str, vocabulary: str = "") -> int:
+    """Tokens of a public tokenizer whose file (JSON) is given, else words and single signs."""
+    return len(_encoder(vocabulary).encode(text, add_special_tokens=False).ids) if vocabulary else len(_COUNTED.findall(text))
 
 
-def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", section_col: str | None = "section", strategy: str = "section_aware", size: int = 1000, overlap: int = 200, embed: Embed | None = None, threshold: float = 0.75) -> DataFrame:
+@lru_cache(maxsize=4)
+def _encoder(path: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    return made
+
+
+def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", section_col: str | None = "section", strategy: str = "section_aware", size: int = 1000, overlap: int = 200, embed: Embed | None = None, threshold: float = 0.75, vocabulary: str = "") -> DataFrame:
     """(id, chunk_index, section, parent_section, text, start_char, end_char, token_count, chunk_id) of every document.
 
     ``strategy`` is recursive, section_aware or semantic; the last uses ``embed`` (hashed bags of words if
-    none is given) and ``size`` as its most. An unknown strategy is recursive. Chunks count from 0 in each document; ids are
+    none is given) and ``size`` as its most. Tokens are counted by the public tokenizer of ``vocabulary`` if there is one. An unknown strategy is recursive. Chunks count from 0 in each document; ids are
     hashes of the document, section, position and text, so the same input gives the same ids. Null and blank
     texts give no chunk; a null section counts as an empty one. Repeated rows give repeated chunks.
     """
@@ -148,7 +159,7 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 else:
                     labelled = [(s, p) for p in recursive_split(t, size, overlap)]
                 spans = with_offsets([p for _, p in labelled], t)
-                rows += [(i, k, label, s, p, a, e, count_tokens(p)) for k, ((label, p), (a, e)) in enumerate(zip(labelled, spans, strict=True))]
+                rows += [(i, k, label, s, p, a, e, count_tokens(p, vocabulary)) for k, ((label, p), (a, e)) in enumerate(zip(labelled, spans, strict=True))]
             cols = list(zip(*rows, strict=True)) or [()] * 8
             types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names)

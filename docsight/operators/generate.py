@@ -75,6 +75,20 @@ def generate(asked: DataFrame, model: str = "extractive") -> DataFrame:
     return rows.select("*", F.lit(model).alias("model"), has.alias("has_sources"))
 
 
+def simple_generate(prompt: str, model: str) -> str:
+    """What a registered model answers to one prompt without sources; the empty string if it raises."""
+    try:
+        return MODELS[model]("", prompt)
+    except Exception:  # noqa: BLE001 - callers go on without an answer
+        return ""
+
+
+def preview(results: DataFrame, most: int = 200) -> DataFrame:
+    """``results`` with ``preview``: the first ``most`` characters of the text, with dots where it goes on."""
+    text = F.coalesce("text", F.lit(""))
+    return results.withColumn("preview", F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text))
+
+
 def stream(answers: DataFrame) -> Iterator[tuple]:
     """(query_id, word) one after the other, without holding all answers on the driver; no checks run on this path."""
     for r in answers.select("query_id", F.explode(F.split("answer", "(?<= )")).alias("word")).toLocalIterator():

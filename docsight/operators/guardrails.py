@@ -107,6 +107,18 @@ def findings(answers: DataFrame, check_hallucination: bool = True, check_numbers
     return reduce(DataFrame.unionByName, [c.withColumn("check_no", F.lit(k)) for k, c in enumerate(checks)])
 
 
+def of_severity(found: DataFrame, severity: str) -> DataFrame:
+    """The findings of one severity: low, medium, high or critical."""
+    if severity not in PENALTY:
+        raise ValueError(f"unknown severity {severity!r}")
+    return found.filter(F.col("severity") == severity)
+
+
+def band(confidence: Column) -> Column:
+    """How a confidence is shown: high from 0.8, medium from 0.6, else low."""
+    return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
+
+
 def report(answers: DataFrame, found: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(answer_id, confidence, passed, findings, high, warnings): one row for each answer; without a finding the confidence is 1."""
     cost = F.lit(OTHER_PENALTY)

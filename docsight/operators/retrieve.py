@@ -51,10 +51,10 @@ def first_seen(ranked: DataFrame, k: int, id_col: str = "query_id") -> DataFrame
     return sparse.top(seen, k, (id_col,))
 
 
-def multi_dense(vectors: DataFrame, variants: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+def multi_dense(vectors: DataFrame, variants: DataFrame, k: int, threshold: float | None = None, digits: int = 9) -> DataFrame:
     """``first_seen`` over dense results of every variant; ``variants`` has query_id, variant_no and embedding."""
     keyed = variants.select(F.struct("query_id", "variant_no").alias("key"), "embedding").select(F.concat_ws("\u0001", "key.query_id", "key.variant_no").alias("kid"), "key", "embedding")
-    found = dense.search(vectors, keyed, k, threshold, query_col="kid")
+    found = dense.search(vectors, keyed, k, threshold, query_col="kid", digits=digits)
     return first_seen(found.join(keyed.select("kid", "key"), "kid").select("key.query_id", "key.variant_no", "rank", "chunk_id", "score"), k)
 
 
@@ -63,11 +63,11 @@ def multi_sparse(index: sparse.SparseIndex, variants: DataFrame, k: int, allowed
     return first_seen(sparse.search(index, variants, k, allowed, ("query_id", "variant_no")), k)
 
 
-def hybrid(vectors: DataFrame, index: sparse.SparseIndex, queries: DataFrame, k: int = 5, dense_weight: float = 0.6, sparse_weight: float = 0.4, threshold: float | None = 0.3, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid(vectors: DataFrame, index: sparse.SparseIndex, queries: DataFrame, k: int = 5, dense_weight: float = 0.6, sparse_weight: float = 0.4, threshold: float | None = 0.3, allowed: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """Reciprocal-rank fusion of the dense and the sparse leg, each fetched ``fetch_depth(k)`` deep; ``queries`` has query_id, query and embedding."""
     deep = fusion.fetch_depth(k)
     kept = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return fusion.fuse([(dense.search(kept, queries, deep, threshold), dense_weight), (sparse.search(index, queries, deep, allowed), sparse_weight)], k)
+    return fusion.fuse([(dense.search(kept, queries, deep, threshold, digits=digits), dense_weight), (sparse.search(index, queries, deep, allowed), sparse_weight)], k)
 
 
 def rerank(results: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
@@ -147,10 +147,10 @@ def compress(results: DataFrame, queries: DataFrame, keep: int = 3, dim: int = 6
     return rows.select(*results.columns, "__s", "__q").mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
 
 
-def retrieve(vectors: DataFrame, index: sparse.SparseIndex, queries: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 5, strategy: str = "ensemble", threshold: float | None = 0.3, trade: float = 0.3, dense_weight: float = 0.6, sparse_weight: float = 0.4, rewrite: Callable[[str], str] | None = None, reranked: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+def retrieve(vectors: DataFrame, index: sparse.SparseIndex, queries: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 5, strategy: str = "ensemble", threshold: float | None = 0.3, trade: float = 0.3, dense_weight: float = 0.6, sparse_weight: float = 0.4, rewrite: Callable[[str], str] | None = None, reranked: bool = False, allowed: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, score, rank, strategy): expand, embed, search by the strategy, optionally rerank on the query itself.
 
-    ``embed`` turns (id, text) into (id, embedding). Unknown strategies are the ensemble, which uses the query alone.
+    ``embed`` turns (id, text) into (id, embedding). Unknown strategies are the ensemble, which uses the query alone. Cosines are compared to ``digits`` digits.
     """
     variants = expand(queries, rewrite)
     keyed = variants.withColumn("kid", F.concat_ws("\u0001", "query_id", "variant_no"))
@@ -158,14 +158,14 @@ def retrieve(vectors: DataFrame, index: sparse.SparseIndex, queries: DataFrame,
     plain = variants.filter("variant_no = 0").select("query_id", "query", "embedding")
     kept = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     if strategy == "dense":
-        found = multi_dense(kept, variants, k, threshold)
+        found = multi_dense(kept, variants, k, threshold, digits)
     elif strategy == "sparse":
         found = multi_sparse(index, variants, k, allowed)
     elif strategy == "mmr":
-        found = diversify(multi_dense(kept, variants, fusion.fetch_depth(k), threshold), kept, plain, k, trade)
+        found = diversify(multi_dense(kept, variants, fusion.fetch_depth(k), threshold, digits), kept, plain, k, trade)
     else:
         strategy = "ensemble"
-        found = hybrid(vectors, index, plain, k, dense_weight, sparse_weight, threshold, allowed)
+        found = hybrid(vectors, index, plain, k, dense_weight, sparse_weight, threshold, allowed, digits)
     if reranked:
         found = rerank(found, vectors, plain, k)
     return found.select("query_id", "chunk_id", "score", "rank", F.lit(strategy).alias("strategy"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from docsight.functions import textops as t
 from docsight.functions import vectors as v
 from docsight.operators import chunking, dense, embedding, fusion, generate, graph, guardrails, metrics, retrieve, sections, sparse, units
-from docsight.runtime import checkpoint, table
+from docsight.operators.ranking import positions
+from docsight.runtime import checkpoint, scratch, table
 from docsight.sources.tables import latest
 
+from .engine import Engine
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
@@ -290,7 +292,7 @@ def sentence_compress(spark, d):
 
 def _judged(spark, d):
     rows = table(spark, d, "results").filter("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "leg", "chunk_id").agg(F.max("score").alias("score"))
-    ranked = sparse.top(rows, 50, ("query_id", "leg"))
+    ranked = positions(checkpoint(rows.filter("chunk_id IS NOT NULL AND query_id IS NOT NULL")), ["query_id", "leg"], [F.col("score").desc(), F.col("chunk_id")], "rank")
     return _questions(spark, d), ranked.filter("leg = 'sparse'"), ranked.filter("leg = 'rerank' AND rank <= 5")
 
 
@@ -490,5 +492,44 @@ def p6_found(spark, d):
     return chunks.union(entities)
 
 
+# The engine over stored tables, which lie below the checkpoint folder and are made anew for each query
+
+
+def _engine(spark, name):
+    return Engine(spark, scratch(spark, name))
+
+
+def _ingested(spark, d):
+    engine = _engine(spark, "engine")
+    engine.ingest(table(spark, d, "documents"))
+    return engine
+
+
+@query
+def engine_ingest(spark, d):
+    """Documents cut, embedded and stored in one pass, as the store gives them back."""
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    return _ingested(spark, d).store.rows().select("chunk_id", "doc_id", "chunk_index", "section", "parent_section", "company_name", "filing_type", "token_count", used.alias("used"))
+
+
+@query
+def engine_query(spark, d):
+    """Every question put to the engine that has taken in all documents."""
+    answers = _ingested(spark, d).query(_questions(spark, d))
+    return answers.select("query_id", "answer", "has_sources", F.round("confidence", 6).alias("confidence"), "passed", F.size("warnings").alias("warnings"))
+
+
+@query
+def engine_evaluate(spark, d):
+    """The engine over the delivered chunks, judged against the five best of the pair model."""
+    engine = _engine(spark, "evaluated")
+    rows = checkpoint(_corpus(spark, d))
+    engine.store.upsert(rows, embedding.embed(rows, "chunk_id", "text"))
+    asked, _, truth = _judged(spark, d)
+    listed = truth.groupBy("query_id").agg(F.collect_list("chunk_id").alias("relevant_chunk_ids"))  # five at most
+    asked = asked.join(listed, "query_id", "left").withColumn("relevant_chunk_ids", F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")))
+    return _rounded(engine.evaluate(asked), *metrics.RETRIEVAL, *metrics.GENERATION)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rrf_hybrid(spark, d)

@@ -60,11 +60,11 @@ _HEADING = rf"^[A-Z][A-Za-z{SPACE},&]{{5,80}}\n"
 #: The text is cut at each newline before what looks like a heading; a short first line that begins with a capital labels its part.
 _PARTS = rf"""
 newlines AS (SELECT doc_id, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM texts))),
-found AS (SELECT doc_id, list(p::BIGINT ORDER BY p) AS spots FROM newlines JOIN texts USING (doc_id) WHERE p <= length(text) AND regexp_matches(substring(text, p::BIGINT + 1, 100), '{_HEADING}') GROUP BY doc_id),
-breaks AS (SELECT doc_id, text, given, coalesce(spots, []) AS spots FROM texts LEFT JOIN found USING (doc_id)),
+spotted AS (SELECT doc_id, list(p::BIGINT ORDER BY p) AS spots FROM newlines JOIN texts USING (doc_id) WHERE p <= length(text) AND regexp_matches(substring(text, p::BIGINT + 1, 100), '{_HEADING}') GROUP BY doc_id),
+breaks AS (SELECT doc_id, text, given, coalesce(spots, []) AS spots FROM texts LEFT JOIN spotted USING (doc_id)),
 cut AS (SELECT doc_id, given, n, {strip("substring(text, a, z - a)")} AS part FROM (SELECT doc_id, given, text, n, CASE WHEN n = 0 THEN 1 ELSE spots[n] + 1 END AS a, CASE WHEN n < len(spots) THEN spots[n + 1] ELSE length(text) + 1 END AS z FROM (SELECT *, unnest(range(0, len(spots) + 1)) AS n FROM breaks))),
-lines AS (SELECT doc_id, given, n, part, {strip("split_part(part, chr(10), 1)")} AS first, instr(part, chr(10)) AS brk FROM cut WHERE part != ''),
-titled AS (SELECT *, length(first) < 100 AND regexp_matches(first, '^\p{{Lu}}') AS t FROM lines),
+headed AS (SELECT doc_id, given, n, part, {strip("split_part(part, chr(10), 1)")} AS first, instr(part, chr(10)) AS brk FROM cut WHERE part != ''),
+titled AS (SELECT *, length(first) < 100 AND regexp_matches(first, '^\p{{Lu}}') AS t FROM headed),
 bodies AS (SELECT doc_id, n, given, doc_id::VARCHAR || '-' || n AS root, CASE WHEN NOT t THEN given WHEN given != '' THEN given || ' > ' || first ELSE first END AS label,
   CASE WHEN NOT t THEN part WHEN brk > 0 THEN {strip("substring(part, brk + 1)")} ELSE first END AS text FROM titled)"""
 

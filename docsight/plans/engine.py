@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsight.config import EngineConfig
 from docsight.operators import chunking, dense, embedding, generate, graph, guardrails, metrics, retrieve, sparse
-from docsight.runtime import settle
+from docsight.runtime import checkpoint, settle
 from docsight.sources.tables import Store
 
 
@@ -20,6 +20,7 @@ class Engine:
         settle(spark)
         self.spark, self.config, self.folder = spark, config or EngineConfig(), folder
         self.store = Store(spark, folder, name)
+        self.log = self.config.configure_logging()
 
     def _embed(self, df: DataFrame) -> DataFrame:
         return embedding.embed(df, df.columns[0], df.columns[1], self.config.embedding_provider, self.config.embedding_dimension)
@@ -27,32 +28,45 @@ class Engine:
     def ingest(self, documents: DataFrame, id_col: str = "doc_id") -> int:
         """Chunks, embeds and stores documents with their metadata; how many chunks there were. The same documents give the same chunks again."""
         c = self.config
-        chunks = chunking.chunk_documents(documents, id_col, "text", "section", c.chunking_strategy, c.chunk_size, c.chunk_overlap)
+        chunks = chunking.chunk_documents(documents, id_col, "text", "section", c.chunking_strategy, c.chunk_size, c.chunk_overlap, vocabulary=c.vocabulary)
         kept = [x for x in ("company_name", "cik", "filing_date", "filing_type", "source_file", "accession_number") if x in documents.columns]
-        chunks = chunks.join(documents.select(id_col, *kept).dropDuplicates([id_col]), id_col)
-        vectors = self._embed(chunks.select("chunk_id", "text"))
-        self.store.upsert(chunks, vectors)
-        return chunks.count()
+        chunks = checkpoint(chunks.join(documents.select(id_col, *kept).dropDuplicates([id_col]), id_col))
+        n = self.store.upsert(chunks, self._embed(chunks.select("chunk_id", "text")))
+        self.log.info("ingested %d chunks into %s", n, self.store.name)
+        return n
+
+    def index(self) -> sparse.SparseIndex:
+        """The sparse index of what is stored, written once for each state of the store."""
+        at = self.store.derived("sparse", lambda folder: sparse.build_index(self.store.rows()).save(folder))
+        return sparse.load_index(self.spark, at)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        rows = self.store.rows()
-        for c in ("source_file", "company_name"):
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(""))
-        return graph.build_graph(graph.extract_entities(rows, "chunk_id", source_col="source_file"), graph.extract_relations(rows, "chunk_id", section_col="parent_section"), "chunk_id")
+        """Nodes and edges of what is stored, written once for each state of the store."""
+
+        def make(folder: str) -> None:
+            rows = self.store.rows()
+            for c in ("source_file", "company_name"):
+                if c not in rows.columns:
+                    rows = rows.withColumn(c, F.lit(""))
+            section = "parent_section" if "parent_section" in rows.columns else None
+            nodes, edges = graph.build_graph(graph.extract_entities(rows, "chunk_id", source_col="source_file"), graph.extract_relations(rows, "chunk_id", section_col=section), "chunk_id")
+            nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+            edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+        at = self.store.derived("graph", make)
+        return self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges")
 
     def retrieve(self, queries: DataFrame, filters: dict | None = None, strategy: str | None = None, rewrite: Callable[[str], str] | None = None, reranked: bool = False) -> DataFrame:
         c = self.config
         rows = self.store.rows()
         allowed = rows.filter(dense.where(filters, rows.columns)).select("chunk_id") if filters else None
-        index = sparse.build_index(rows)
-        return retrieve.retrieve(rows.select("chunk_id", "embedding"), index, queries, self._embed, c.retrieval_top_k, strategy or c.retrieval_strategy, c.retrieval_score_threshold, c.mmr_diversity_score, c.dense_weight, c.sparse_weight, rewrite, reranked, allowed)
+        return retrieve.retrieve(rows.select("chunk_id", "embedding"), self.index(), queries, self._embed, c.retrieval_top_k, strategy or c.retrieval_strategy, c.retrieval_score_threshold, c.mmr_diversity_score, c.dense_weight, c.sparse_weight, rewrite, reranked, allowed, digits=6)  # vectors are kept as floats
 
-    def query(self, queries: DataFrame, filters: dict | None = None, use_graph: bool = True, validate: bool = True, strategy: str | None = None) -> DataFrame:
-        """(query_id, query, answer, texts, model, has_sources, confidence, passed, warnings): one row for each query, also for those without sources, which keep confidence 1."""
+    def query(self, queries: DataFrame, filters: dict | None = None, use_graph: bool = True, validate: bool = True, strategy: str | None = None, run: DataFrame | None = None) -> DataFrame:
+        """(query_id, query, answer, texts, model, has_sources, confidence, passed, warnings): one row for each query, also for those without sources, which keep confidence 1. ``run`` is what ``retrieve`` gave where that is at hand."""
         rows = self.store.rows()
         fields = [c for c in ("text", "section", "company_name", "filing_date") if c in rows.columns]
-        found = self.retrieve(queries, filters, strategy).join(rows.select("chunk_id", *fields), "chunk_id")
+        found = (self.retrieve(queries, filters, strategy) if run is None else run).join(rows.select("chunk_id", *fields), "chunk_id")
         for c in ("section", "company_name", "filing_date"):
             if c not in fields:
                 found = found.withColumn(c, F.lit(None).cast("string"))
@@ -62,7 +76,7 @@ class Engine:
             start = self.spark.createDataFrame([(f"company::{filters.get('company', filters.get('company_name'))}",)], "node_id string")
             text = graph.context(graph.related(start, nodes, edges, 2))
             contexts = queries.select("query_id", F.lit(start.first()["node_id"]).alias("seed")).join(text, "seed").select("query_id", "context")
-        answers = generate.generate(generate.prompts(queries, generate.format_sources(found), contexts), self.config.llm_provider)
+        answers = checkpoint(generate.generate(generate.prompts(queries, generate.format_sources(found), contexts), self.config.llm_provider))
         if not validate:
             return answers.select("*", F.lit(1.0).alias("confidence"), F.lit(True).alias("passed"), F.array().cast("array<string>").alias("warnings"))
         checked = answers.filter("has_sources").select(F.col("query_id").alias("answer_id"), "answer", F.col("texts").alias("sources"))
@@ -72,8 +86,8 @@ class Engine:
 
     def evaluate(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """(query_id, four retrieval and four generation metrics) of questions as ``load_questions`` gives them; ``metrics.averages`` sums them up."""
-        answers = self.query(questions)
-        run = self.retrieve(questions)
+        run = checkpoint(self.retrieve(questions))
+        answers = checkpoint(self.query(questions, run=run))
         truth = questions.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
         out = metrics.retrieval_metrics(questions, run, truth, k)
         given = answers.select(F.col("query_id").alias("answer_id"), "query", "answer", F.col("texts").alias("sources"))

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from docsight.functions.textops import ENTITIES
-from docsight.operators.graph import COMPANY, COMPETES, DATE, METRIC, MONEY, OPERATES, PERCENT, SUBSIDIARY
-from docsight.operators.sections import SECTIONS
-
-from .chunk_sql import CHUNKS
-
+from .chunk_sql import CHUNKS, SECTION_AWARE
+
+#: Fixed values, written out here as well so that the SQL does not depend on what it checks: entities, sections, patterns of entities and relations.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"'), ("&#8212;", " -- "))
+SECTIONS = {
+    "Business": (r"(?i)item\s+1[\.\s]*[-—]?\s*business", r"(?i)part\s+i\s*[\n\r]+\s*item\s+1\b"),
+    "Risk Factors": (r"(?i)item\s+1a[\.\s]*[-—]?\s*risk\s+factors",),
+    "Properties": (r"(?i)item\s+2[\.\s]*[-—]?\s*properties",),
+    "Legal Proceedings": (r"(?i)item\s+3[\.\s]*[-—]?\s*legal\s+proceedings",),
+    "MD&A": (r"(?i)item\s+7[\.\s]*[-—]?\s*management'?s?\s+discussion",),
+    "Financial Statements": (r"(?i)item\s+8[\.\s]*[-—]?\s*financial\s+statements",),
+    "Controls and Procedures": (r"(?i)item\s+9a[\.\s]*[-—]?\s*controls?\s+and\s+procedures",),
+}
+MONEY = r"(?i)\$\s*[\d,]+\.?\d*\s*(?:billion|million|thousand|trillion)?"
+PERCENT = r"(?i)\d+\.?\d*\s*(?:%|percent)"
+DATE = r"(?i)(?:(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|(?:fiscal\s+)?(?:year|quarter)\s+(?:ended?\s+)?\d{4}|(?:FY|Q[1-4])\s*\d{4})"
+METRIC = r"(?i)\b(?:revenue|net income|gross profit|operating income|ebitda|total assets|total liabilities|shareholders equity|cash flow|operating cash flow|free cash flow|earnings per share|eps|gross margin|operating margin|net margin|return on equity|return on assets|debt to equity|current ratio|cost of revenue|research and development|selling general and administrative|depreciation|amortization|capital expenditures|dividends)\b"
+COMPANY = r"([A-Z][\p{L}\p{N}_\s&.-]+\s+(?:Inc\.|Corp\.|Corporation|Company|Ltd\.|LLC|L\.P\.|Group|Holdings))"
+SUBSIDIARY = r"(?i)(?:subsidiary|subsidiaries|wholly[- ]owned)\s+(?:of\s+)?([A-Z][\p{L}\p{N}_\s,]+?)(?:\.|,|\band\b)"
+COMPETES = r"(?i)(?:compet(?:e|es|ing|itor|itors|ition)\s+(?:with|from|include|including))\s+([A-Z][\p{L}\p{N}_\s,]+?)(?:\.|,|\band\b)"
+OPERATES = r"(?i)(?:operat(?:e|es|ing)\s+in)\s+([A-Z][\p{L}\p{N}_\s,]+?)(?:\.|,|\band\b)"
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NUMBER = r"(?i)\$?\s*\d[\d,]*\.?\d*\s*(?:billion|million|thousand|trillion|%|percent)?"
 _CLAIM = (
@@ -183,7 +198,7 @@ _JUDGED = """
 best AS (SELECT query_id, leg, chunk_id, max(score) AS score FROM results WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS rank FROM best WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL)"""
 _IR = f"""WITH {_JUDGED},
-run AS (SELECT * FROM ranked WHERE leg = 'sparse' AND rank <= 50), truth AS (SELECT query_id, chunk_id FROM ranked WHERE leg = 'rerank' AND rank <= 5),
+run AS (SELECT * FROM ranked WHERE leg = 'sparse'), truth AS (SELECT query_id, chunk_id FROM ranked WHERE leg = 'rerank' AND rank <= 5),
 n AS (SELECT query_id, count(*) AS n FROM truth GROUP BY ALL),
 h AS (SELECT query_id, sum((rank <= 5)::INT) AS hits, min(rank) AS first, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END) AS gain FROM run JOIN truth USING (query_id, chunk_id) GROUP BY ALL),
 m AS (SELECT query_id, coalesce(hits / 5.0, 0) AS p, coalesce(hits / n.n::DOUBLE, 0) AS r, coalesce(1.0 / first, 0) AS rr,
@@ -278,9 +293,9 @@ lists AS (SELECT query_id, list(coalesce(text, '') ORDER BY rank) AS texts FROM
 split AS (SELECT query_id, query, i, {_sentences("t")} AS ss FROM (SELECT query_id, query, unnest(texts) AS t, generate_subscripts(texts, 1) AS i FROM lists JOIN queries USING (query_id))),
 lines AS (SELECT query_id, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j, list_distinct({_tokens("query", "{4,}")}) AS w FROM split),
 shared AS (SELECT query_id, i, j, s, len(list_intersect(w, list_distinct({_tokens("s", "{4,}")}))) AS o FROM lines),
-best AS (SELECT query_id, string_agg(s || ' [Source ' || i || ']', ' ' ORDER BY o DESC, i, j) AS answer FROM (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, i, j) <= 3) GROUP BY ALL),
+chosen AS (SELECT query_id, string_agg(s || ' [Source ' || i || ']', ' ' ORDER BY o DESC, i, j) AS answer FROM (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, i, j) <= 3) GROUP BY ALL),
 said AS (SELECT q.query_id, q.query, CASE WHEN l.texts IS NULL THEN 'No relevant passage was found in the indexed filings for this question.' ELSE coalesce(b.answer, '') END AS answer, coalesce(l.texts, []) AS texts
-  FROM queries q LEFT JOIN lists l ON l.query_id = q.query_id LEFT JOIN best b ON b.query_id = q.query_id)"""
+  FROM queries q LEFT JOIN lists l ON l.query_id = q.query_id LEFT JOIN chosen b ON b.query_id = q.query_id)"""
 _GENERATED = f"""WITH {_CORPUS}, {_INDEX}, {_scored("queries")},
 found AS (SELECT query_id, rank, text FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, chunk_id) AS rank FROM shares QUALIFY rank <= 5) JOIN corpus USING (chunk_id)), {_LINES}
 SELECT query_id, answer, 'extractive' AS model, len(texts) > 0 AS has_sources FROM said"""
@@ -292,7 +307,42 @@ _RAG = f"""{_hybrid(5, 15, 0.6, 0.4, "AND score >= 0.3").rsplit("SELECT * FROM p
 found AS (SELECT p.query_id, p.rank, c.text FROM placed p JOIN corpus c USING (chunk_id) WHERE p.rank <= 5), {_LINES}, {_CHECKED}
 SELECT s.query_id, query, answer, len(texts) > 0 AS has_sources, confidence, confidence >= 0.7 AS passed, findings FROM said s LEFT JOIN judged j USING (query_id)"""
 
+
+def _over_documents(sql: str) -> str:
+    """SQL over the delivered chunks turned into SQL over those that the engine cuts documents into."""
+    assert sql.lstrip().startswith(f"WITH {_CORPUS}")
+    cut = SECTION_AWARE.rsplit("SELECT doc_id, chunk_index::INT", 1)
+    return f"{cut[0].rstrip()},\ncorpus AS (SELECT doc_id, chunk_index::INT{cut[1]})" + sql.lstrip().removeprefix(f"WITH {_CORPUS}")
+
+
+_INGESTED = _over_documents(f"""WITH {_CORPUS}, {_hashed("h", "corpus", "chunk_id", "text")}
+SELECT chunk_id, doc_id, chunk_index, c.section, parent_section, d.company_name, d.filing_type, token_count, coalesce(used, 0)::INT AS used FROM corpus c JOIN documents d USING (doc_id) LEFT JOIN (SELECT chunk_id, count(*) AS used FROM h_b GROUP BY ALL) USING (chunk_id)""")
+#: Vectors are kept as floats, so cosines are compared to six digits.
+_WARNED = """, warned AS (SELECT answer_id AS query_id, sum((severity = 'high')::INT) AS high FROM notes GROUP BY ALL)
+SELECT s.query_id, answer, len(texts) > 0 AS has_sources, coalesce(round(confidence, 6), 1) AS confidence, coalesce(confidence >= 0.7, true) AS passed,
+  CASE WHEN len(texts) = 0 THEN 1 ELSE coalesce(high, 0) + (confidence < 0.7)::INT END::INT AS warnings FROM said s LEFT JOIN judged USING (query_id) LEFT JOIN warned USING (query_id)"""
+_ENGINE_QUERY = _over_documents(_RAG.rsplit("\nSELECT s.query_id", 1)[0].strip() + _WARNED).replace("round(dot / (l.norm * r.norm), 9)", "round(dot / (l.norm * r.norm), 6)")
+_EVALUATED = f"""{_RAG.rsplit("SELECT s.query_id", 1)[0].rstrip()}, {_JUDGED}, truth AS (SELECT query_id, chunk_id FROM ranked WHERE leg = 'rerank' AND rank <= 5),
+counts AS (SELECT query_id, count(*) AS n FROM truth GROUP BY ALL),
+hits_in AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM placed JOIN truth USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY ALL),
+ir AS (SELECT query_id, coalesce(hits / 5.0, 0) AS precision, coalesce(hits / n::DOUBLE, 0) AS recall, coalesce(1.0 / first, 0) AS reciprocal_rank,
+  coalesce(gain / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg FROM (SELECT DISTINCT query_id FROM queries) LEFT JOIN counts USING (query_id) LEFT JOIN hits_in USING (query_id)),
+long AS (SELECT answer_id, len(w) = 0 OR len(list_filter(w, lambda x: contains(low, x)))::DOUBLE / greatest(len(w), 1) >= 0.3 AS good FROM sents WHERE length(s) > 15),
+faithful AS (SELECT answer_id, coalesce(avg(good::INT), 1) AS faithfulness FROM answers LEFT JOIN long USING (answer_id) GROUP BY ALL),
+wanted AS (SELECT answer_id, sources, list_distinct({_tokens('query', '{4,}')}) AS q FROM answers),
+relevant AS (SELECT answer_id, CASE WHEN len(q) > 0 AND len(sources) > 0 THEN len(list_filter(sources, lambda t: len(list_intersect(q, {_tokens('t', '{4,}')}))::DOUBLE / len(q) >= 0.2))::DOUBLE / len(sources) ELSE 0 END AS context_relevancy FROM wanted),
+verified AS (SELECT answer_id, contains(src, c) OR (v IS NOT NULL AND len(list_filter(vals, lambda s: abs(v - s) / greatest(abs(s), 1e-10) < 0.02)) > 0) AS good FROM counted_numbers),
+numbered AS (SELECT answer_id, coalesce(avg(good::INT), 1) AS numerical_accuracy FROM answers LEFT JOIN verified USING (answer_id) GROUP BY ALL),
+heads AS (SELECT answer_id, query, substring(answer, 1, 500) AS head FROM answers), {_hashed('hx', 'heads', 'answer_id', 'query')}, {_hashed('hy', 'heads', 'answer_id', 'head')},
+dotted AS (SELECT answer_id, sum(x.c * y.c)::DOUBLE AS dot FROM hx_b x JOIN hy_b y USING (answer_id, b) GROUP BY ALL),
+near_query AS (SELECT answer_id, coalesce(dot / (hx.norm * hy.norm), 0) AS answer_relevancy FROM answers LEFT JOIN dotted USING (answer_id) LEFT JOIN hx USING (answer_id) LEFT JOIN hy USING (answer_id))
+SELECT ir.query_id, {", ".join(f"round({c}, 6) AS {c}" for c in ("precision", "recall", "reciprocal_rank", "ndcg", "faithfulness", "context_relevancy", "numerical_accuracy", "answer_relevancy"))}
+FROM ir LEFT JOIN faithful f ON f.answer_id = ir.query_id LEFT JOIN relevant r ON r.answer_id = ir.query_id LEFT JOIN numbered n ON n.answer_id = ir.query_id LEFT JOIN near_query a ON a.answer_id = ir.query_id""".replace("round(dot / (l.norm * r.norm), 9)", "round(dot / (l.norm * r.norm), 6)")
+
 ORACLE: dict[str, str] = {
+    "engine_ingest": _INGESTED,
+    "engine_query": _ENGINE_QUERY,
+    "engine_evaluate": _EVALUATED,
     **CHUNKS,
     "mmr_select": _MMR_SELECT,
     "strategy_results": _STRATEGIES,

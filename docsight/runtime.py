@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +36,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return settle(spark).read.parquet(f"{directory}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of the cluster.
-
-    The folder is ``spark.checkpoint.dir`` of the session. Only where none is set, as in tests on
-    one machine, a temporary folder is used; with executors on other machines that would not be readable.
-    """
-    spark = settle(df.sparkSession)
+def _folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir`` of the session. Only where none is set, as in tests on one machine, it is a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", "")
@@ -50,4 +46,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"docsight-checkpoints-{os.getpid()}")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run below the shared one."""
+    return f"{_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder of the cluster."""
+    _folder(settle(df.sparkSession))
     return df.checkpoint(eager=True)

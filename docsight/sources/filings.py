@@ -52,15 +52,17 @@ def document_url(cik: Column, accession: Column) -> Column:
 
 
 class _Part(InputPartition):
-    def __init__(self, cik: str, accession: str, date: str):
-        self.cik, self.accession, self.date = cik, accession, date
+    """Filings of one task, as (accession number, date), and how long it waits before each, so that all tasks together keep the rate."""
+
+    def __init__(self, filings: list[tuple[str, str]], wait: float):
+        self.filings, self.wait = filings, wait
 
 
 class RemoteFilings(DataSource):
-    """``spark.read.format("remote_filings")``: one partition for each filing of a feed.
+    """``spark.read.format("remote_filings")``: the filings of a feed.
 
-    Options: ``cik``, ``feed`` (the feed's text), ``count``, ``rate`` (requests a second in each task). ``fetch`` is
-    replaced by the caller, as there is no network here; a filing that it gives None for, or that raises, is left out.
+    Options: ``cik``, ``company`` (given to every row if not empty), ``feed`` (the feed's text), ``count``, ``rate`` (requests a second of all tasks together), ``tasks`` (4) that the filings
+    are dealt to. ``fetch`` is replaced by the caller, as there is no network here; a filing that it gives None for, or that raises, is left out.
     """
 
     fetch: Callable[[str], str | None] = staticmethod(lambda url: None)
@@ -70,7 +72,7 @@ class RemoteFilings(DataSource):
         return "remote_filings"
 
     def schema(self) -> str:
-        return "source_file string, cik string, accession_number string, filing_date string, text string"
+        return "source_file string, company_name string, cik string, accession_number string, filing_date string, text string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options, type(self).fetch)
@@ -80,21 +82,22 @@ class _Reader(DataSourceReader):
     def __init__(self, options, fetch):
         self.options, self.fetch = dict(options), fetch
 
-    def partitions(self) -> list[_Part]:
-        out = []
+    def partitions(self) -> list[InputPartition]:
+        found = []
         for e in re.findall(r"<entry>(.+?)</entry>", self.options.get("feed", ""), re.S)[: int(self.options.get("count", 5))]:
             number, link, date = (re.search(p, e) for p in (r"accession-number.*?>([\d-]+)<", r'<link[^>]+href="([^"]+)"', r"<filing-date>(\d{4}-\d{2}-\d{2})</filing-date>"))
             if number and link:
-                out.append(_Part(self.options.get("cik", ""), number[1], date[1] if date else ""))
-        return out or [None]
-
-    def read(self, part: _Part | None) -> Iterator[tuple]:
-        if part is None:
-            return
-        time.sleep(1 / float(self.options.get("rate", 10)))
-        try:
-            text = self.fetch(f"{ARCHIVE}/{part.cik.lstrip('0')}/{part.accession.replace('-', '')}/{part.accession}.txt")
-        except Exception:  # noqa: BLE001 - a filing that cannot be had is left out
-            text = None
-        if text is not None:
-            yield f"edgar://{part.cik}/{part.accession}", part.cik, part.accession, part.date, text
+                found.append((number[1], date[1] if date else ""))
+        tasks = max(1, min(int(self.options.get("tasks", 4)), len(found)))
+        return [_Part(found[k::tasks], tasks / float(self.options.get("rate", 10))) for k in range(tasks)]
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        cik = self.options.get("cik", "")
+        for number, date in part.filings:
+            time.sleep(part.wait)
+            try:
+                text = self.fetch(f"{ARCHIVE}/{cik.lstrip('0')}/{number.replace('-', '')}/{number}.txt")
+            except Exception:  # noqa: BLE001 - a filing that cannot be had is left out
+                text = None
+            if text is not None:
+                yield f"edgar://{cik}/{number}", self.options.get("company", ""), cik, number, date, text

@@ -382,6 +382,60 @@ def test_store(spark, tmp_path):
     assert s.count() == 0
 
 
+def test_store_appends_and_merges(spark, tmp_path):
+    s = tables.Store(spark, str(tmp_path), "c", merge_at=4)
+    made = []
+
+    def derived():
+        return s.derived("kind", lambda at: (made.append(s.state()), s.rows().select("chunk_id").write.parquet(f"{at}/ids")))
+
+    for k in range(9):
+        ids = [f"i{k % 3}", f"j{k}"]
+        chunks = spark.createDataFrame([(i, f"text {k}") for i in ids], "chunk_id string, text string")
+        before = s.rows()
+        assert s.upsert(chunks, spark.createDataFrame([(i, [float(k)]) for i in ids], "chunk_id string, embedding array<double>")) == 2
+        if before is not None:
+            before.count()  # a plan made before the write still reads
+        if k == 4:
+            s.delete(spark.createDataFrame([("j0",), ("i0",)], "chunk_id string"))
+            assert {r["chunk_id"] for r in s.rows().collect()} == {"i1", "i2", "j1", "j2", "j3", "j4"}
+    assert {r["chunk_id"]: r["text"] for r in s.rows().collect()} == {**{f"i{k}": f"text {k + 6}" for k in range(3)}, **{f"j{k}": f"text {k}" for k in range(1, 9)}}
+    assert len(s._parts()) < 4
+    assert derived() == derived() and len(made) == 1 and spark.read.parquet(derived() + "/ids").count() == 11
+    s.delete(spark.createDataFrame([("j1",)], "chunk_id string"))
+    derived()
+    assert len(set(made)) == 2 and s.count() == 10
+
+
+def test_small_helpers(spark, monkeypatch):
+    vocabulary = "/opt/tokenizers/byte_bpe_50k.json"
+    assert chunking.count_tokens("Net income, 5%") == 5 and chunking.count_tokens("", vocabulary) == 0 and 0 < chunking.count_tokens("unbelievably long", vocabulary) < 7
+    df = spark.createDataFrame([(1, "One sentence only.", "Business")], "doc_id int, text string, section string")
+    assert chunking.chunk_documents(df, vocabulary=vocabulary).first()["token_count"] == chunking.count_tokens("One sentence only.", vocabulary)
+    monkeypatch.setitem(generate.MODELS, "echo", lambda system, user: user.upper())
+    assert generate.simple_generate("hello", "echo") == "HELLO" and generate.simple_generate("hello", "absent") == ""
+    shown = generate.preview(spark.createDataFrame([("x" * 300,), ("y",), (None,)], "text string")).collect()
+    assert [len(r["preview"]) for r in shown] == [203, 1, 0]
+    found = spark.createDataFrame([(1, "high"), (1, "low")], "answer_id int, severity string")
+    assert guardrails.of_severity(found, "high").count() == 1 and guardrails.of_severity(found, "critical").count() == 0
+    with pytest.raises(ValueError, match="severity"):
+        guardrails.of_severity(found, "dire")
+    bands = spark.createDataFrame([(0.8,), (0.7,), (0.1,)], "c double").select(guardrails.band(F.col("c")).alias("b")).collect()
+    assert [r["b"] for r in bands] == ["high", "medium", "low"]
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    assert EngineConfig(llm_provider="openai").missing_keys() == ["OPENAI_API_KEY"] and EngineConfig().missing_keys() == []
+    assert EngineConfig(log_level="error").configure_logging().level == 40
+
+
+def test_requests_keep_the_rate_of_all_tasks():
+    feed = "".join(f'<entry><accession-number>0-1-{k}</accession-number><link rel="x" href="http://h/{k}"/></entry>' for k in range(9))
+    reader = filings._Reader({"feed": feed, "cik": "1", "count": "9", "rate": "2", "tasks": "3", "company": "Acme"}, lambda url: url)
+    parts = reader.partitions()
+    assert sorted(len(p.filings) for p in parts) == [3, 3, 3] and sum(1 / p.wait for p in parts) == pytest.approx(2)
+    parts[0].wait = 0
+    assert [r[1] for r in reader.read(parts[0])] == ["Acme"] * 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"COMPANY CONFORMED NAME: Acme\nItem 1. Business\nWe sell \xff things.")
     (tmp_path / "b.html").write_text("ignored")
