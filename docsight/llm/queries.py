@@ -30,7 +30,7 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The five best of each query: what the query asks for, not a cap."""
-    return rank_fusion.median_rank(table(spark, d, "results"), table(spark, d, "score_legs")).filter("position <= 5").select("query_id", "chunk_id")
+    return rank_fusion.best(table(spark, d, "results"), table(spark, d, "score_legs"), 5).select("query_id", "chunk_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

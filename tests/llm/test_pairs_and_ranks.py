@@ -81,6 +81,24 @@ def test_median_rank(spark):
     assert rank_fusion.median_rank(df.limit(0), legs).count() == 0
 
 
+def test_median_rank_of_a_crowded_query(spark):
+    rng = random.Random(8)
+    rows = [(7, leg, f"c{k:04d}", float(rng.randint(0, 300))) for leg in ("up", "down", "wide") for k in range(1500) if rng.random() < 0.9] + [(8, "up", "only", 1.0)]
+    legs = spark.createDataFrame([("up", True), ("down", False), ("wide", True)], "leg string, higher_is_better boolean")
+    df = spark.createDataFrame(rows, "query_id bigint, leg string, chunk_id string, score double").repartition(5)
+    ranks, chunks = [], sorted({c for q, _, c, _ in rows if q == 7})
+    for leg, up in (("up", 1), ("down", -1), ("wide", 1)):
+        own = {c: -up * s for q, n, c, s in rows if (q, n) == (7, leg)}
+        cost = np.sort(list(own.values()))
+        ranks.append([int(np.searchsorted(cost, own[c])) + 1 if c in own else len(own) + 1 for c in chunks])
+    r = np.array(ranks, float)
+    order = np.lexsort((chunks, r.mean(0), np.median(r, 0)))
+    out = rank_fusion.median_rank(df, legs).orderBy("query_id", "position").collect()
+    assert [(x["position"], x["chunk_id"], x["median_rank"]) for x in out[:-1]] == [(n, chunks[k], float(np.median(r[:, k]))) for n, k in enumerate(order, 1)]
+    first = rank_fusion.best(df, legs, 5).orderBy("query_id", "position").collect()
+    assert [x["chunk_id"] for x in first] == [*[chunks[k] for k in order[:5]], "only"]
+
+
 REGISTRY = [
     (1, "company", "Giavein Insurance Inc.", None), (2, "company", "Drofaedei & Piaspiaen Corp.", "Old Koveinwell Ltd."), (3, "company", "Bank of Vastundis Corp.", None), (4, "company", "Zeiszolor Pacific Foods Ventures L.P.", None),
     (5, "company", "Giavemor Insurance Inc.", None), (6, "person", "Lawrence B. Trolbriaum", None), (7, "person", "Katherine Trolbriaum", None), (8, "company", "Giavein Foods Inc.", None), (9, "company", None, None), (10, None, "Nobody", None),
