@@ -13,6 +13,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsight.runtime import checkpoint
+
 #: Base unit, factor to it, and the spellings of each unit (lower case; plural and German forms included).
 UNITS: tuple[tuple[str, float, str], ...] = (
     ("usd", 1.0, "usd|us$|u.s.$|$|dollars|dollar|u.s. dollars|u.s. dollar|us dollars|us dollar"),
@@ -167,6 +169,31 @@ def property_quantities(df: DataFrame, id_col: str, map_col: str, text_keys: tup
     return texts.union(told).distinct()
 
 
+def restated_quantities(df: DataFrame, id_col: str, name_col: str, map_col: str, text_keys: tuple[str, ...] = ("raw", "text", "span"), number_keys: tuple[str, ...] = ("value", "amount")) -> DataFrame:
+    """(id, base_unit, unit, factor, residual, unique): the unit of each number of a property map by the identity with the quantity that the row's name states.
+
+    The name's quantity gives the dimension and the value in base units; number x factor = stated value is the identity, and the
+    units of the dimension with their scales are the choices of ``units_by_identity``. A row whose name states no quantity, or whose map holds no number, gives nothing.
+    """
+    p = F.col("p")
+    number = F.coalesce(*[_number(F.try_element_at(p, F.lit(k))) for k in number_keys], *[F.regexp_replace(F.regexp_extract(F.try_element_at(p, F.lit(k)), _NUMBER, 0), ",", "").try_cast("double") for k in text_keys])
+    said = df.select(F.col(id_col).alias("id"), F.explode(matches(F.col(name_col))).alias("m"), F.col(map_col).alias("p"))
+    base, stated = parse_match(F.col("m"))
+    rows = said.select("id", base.alias("base_unit"), F.abs(stated).cast("double").alias("stated"), F.abs(number).alias("number")).filter("base_unit IS NOT NULL AND number IS NOT NULL").distinct()
+    rows = checkpoint(rows)  # read once for each base unit
+    out = None
+    for kind in dict.fromkeys(b for b, _, _ in UNITS):
+        choices = {names.split("|")[0]: f for b, f, names in UNITS if b == kind}
+        scales = [(s, names.split("|")[1] if s > 1 else "") for s, names in SCALES]
+        choices = {f"{scale} {unit}".strip(): f * s for unit, f in choices.items() for s, scale in scales}
+        found = units_by_identity(rows.filter(F.col("base_unit") == kind), {"stated": (1, {kind: 1.0}), "number": (-1, choices)})
+        factor = _lookup(choices, F.col("unit"))
+        part = found.select("id", "base_unit", "number", F.col("identity_units")["number"].alias("unit"), F.col("identity_residual").alias("residual"), F.col("identity_unique").alias("unique"))
+        part = part.filter("unit IS NOT NULL").withColumn("factor", factor)
+        out = part if out is None else out.unionByName(part)
+    return out.select("id", "base_unit", "unit", "factor", F.round(F.round(F.col("number") * F.col("factor"), 6)).cast("bigint").alias("base_value"), F.round("residual", 6).alias("residual"), "unique")
+
+
 def units_by_identity(df: DataFrame, columns: dict[str, tuple[int, dict[str, float]]], tolerance: float = 0.05, apart: float = 0.02) -> DataFrame:
     """``df`` with ``identity_units`` (map column -> unit), ``identity_residual`` and ``identity_unique``.
 
@@ -184,14 +211,15 @@ def units_by_identity(df: DataFrame, columns: dict[str, tuple[int, dict[str, flo
         c = F.col(f"`{n}`").cast("double")
         usable = usable & F.coalesce((c > 0) & ~F.isnan(c) & (c < float("inf")), F.lit(False))
         total = total + columns[n][0] * F.ln(F.when(c > 0, c))
-    residuals = F.array_sort(F.array(*[F.struct(F.abs(total + shift).alias("r"), F.lit(k).alias("k")) for k, (_, shift) in enumerate(combos)]))
-    maps = F.array(*[F.create_map(*[F.lit(x) for pair in units.items() for x in pair]) for units, _ in combos])
+    shifts = F.array(*[F.lit(shift) for _, shift in combos])
+    rows = df.withColumn("__t", F.when(usable, total))
+    rows = rows.withColumn("__r", F.slice(F.array_sort(F.transform(shifts, lambda s, k: F.struct(F.abs(F.col("__t") + s).alias("r"), k.alias("k")))), 1, 2))
     first, second = F.try_element_at(F.col("__r"), F.lit(1)), F.try_element_at(F.col("__r"), F.lit(2))
-    good = usable & (first["r"] <= tolerance)
+    good = F.col("__t").isNotNull() & (first["r"] <= tolerance)
+    chosen = F.create_map(*[x for n in names for x in (F.lit(n), F.element_at(F.array(*[F.lit(units[n]) for units, _ in combos]), first["k"] + 1))])
     return (
-        df.withColumn("__r", residuals)
-        .withColumn("identity_units", F.when(good, F.element_at(maps, first["k"] + 1)))
-        .withColumn("identity_residual", F.when(usable, first["r"]))
+        rows.withColumn("identity_units", F.when(good, chosen))
+        .withColumn("identity_residual", F.when(F.col("__t").isNotNull(), first["r"]))
         .withColumn("identity_unique", F.when(good, F.coalesce(second["r"] - first["r"] > apart, F.lit(True))))
-        .drop("__r")
+        .drop("__r", "__t")
     )

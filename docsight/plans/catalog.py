@@ -492,6 +492,12 @@ def p6_found(spark, d):
     return chunks.union(entities)
 
 
+@query
+def p6_identity(spark, d):
+    """Units of property numbers by the identity with the quantity that the entity's name states; non-unique choices are flagged."""
+    return units.restated_quantities(table(spark, d, "entities"), "entity_id", "name", "properties").withColumnRenamed("id", "entity_id")
+
+
 # The engine over stored tables, which lie below the checkpoint folder and are made anew for each query
 
 

@@ -563,3 +563,12 @@ def test_units_by_identity(spark):
     assert all(out[k]["identity_unique"] for k in (1, 2, 3)) and all(out[k]["identity_units"] is None for k in (4, 5, 6))
     same = units.units_by_identity(spark.createDataFrame([(2.0, 2.0)], "a double, b double"), {"a": (1, weights), "b": (-1, weights)}).first()
     assert not same["identity_unique"]
+
+
+def test_restated_quantities(spark):
+    rows = [(1, "4.2 km", {"raw": "4.2 km"}), (2, "$3 million", {"value": "3000"}), (3, "12 t", {"value": "12,000", "x": "y"}), (4, "Acme", {"value": "5"}), (5, "5 kg", {}), (6, None, None), (7, "0 kg", {"value": "3"}), (8, "5 kg", {"value": "none"})]
+    df = spark.createDataFrame(rows, "id int, name string, properties map<string,string>")
+    got = {r["id"]: (r["base_unit"], r["unit"], r["base_value"], r["unique"]) for r in units.restated_quantities(df, "id", "name", "properties").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "m", 2: "usd", 3: "kg"} and {k: v[2] for k, v in got.items()} == {1: 4200, 2: 3_000_000, 3: 12_000}
+    assert got[1][3] is False or "km" in got[1][1]
+    assert units.restated_quantities(df.limit(0), "id", "name", "properties").count() == 0
