@@ -27,6 +27,8 @@ _WORD = re.compile(r"[^\W_]+")
 _PIECE = 512
 _WORDS_KEPT = 500_000
 _SEED = 20_240_117
+#: Classes of a block beyond which it is spread, and of a tile in which texts are compared; blocks posted to one part.
+CROWD, TILE, PART = 1_024, 2_048, 250_000
 
 
 @lru_cache(maxsize=4)
@@ -83,6 +85,11 @@ def _shingler(words: int) -> Shingler:
     return _shinglers.setdefault(words, Shingler(words))
 
 
+def _class(x: np.ndarray) -> int:
+    """What ``signatures`` gives as class of one set of shingle hashes."""
+    return int(_mix(_mix(x).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x))).view(np.int64)[0])
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, least: int, slots: int) -> DataFrame:
     """(id, cls, s0, s1, ..., slots): class of the shingle set, two bits of each slot in longs, and one byte of each slot."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -109,17 +116,27 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, least: int
     return df.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * least - 1)).select(id_col, text_col).mapInArrow(run, f"id {kind}, cls bigint, {sketch}, slots binary")
 
 
-def _blocks(slots: int, width: int) -> F.Column:
-    """40-bit keys of all blocks: consecutive slots, then slots a fixed stride apart."""
+def _posted(classes: DataFrame, slots: int, width: int) -> DataFrame:
+    """(cls, block) of all blocks of classes (cls, slots): consecutive slots, then slots a fixed stride apart; a block's number and its slots make its key."""
     count = slots // width
-    piece = lambda k, n: F.substring("slots", k + 1, n)
-    near = [F.xxhash64(F.lit(b), piece(b * width, width)) for b in range(count)]
-    far = [F.xxhash64(F.lit(count + b), *[piece(b + k * count, 1) for k in range(width)]) for b in range(count)]
-    return F.array(*[k.bitwiseAND(F.lit((1 << 40) - 1)) for k in near + far])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
+                low = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, slots)
+                both = np.concatenate([low.reshape(-1, count, width), low.reshape(-1, width, count).transpose(0, 2, 1)], axis=1).astype(np.int64)
+                key = np.zeros(both.shape[:2], np.int64) + np.arange(2 * count)
+                for k in range(width):
+                    key = key << 8 | both[:, :, k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), 2 * count)), pa.array(key.ravel())], ["cls", "block"])
+
+    return classes.select("cls", "slots").mapInArrow(run, "cls bigint, block bigint")
 
-def _only(df: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """The rows of ``df`` whose id may be among ``ids``: a bitmap of fixed size is broadcast, 2^(bits - 6) longs whatever the data."""
+
+def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``df`` whose id may be among the ``n`` of ``ids``: a bitmap of some 16 bits an id, 8 MB at most, is broadcast. Where there are more ids it only lets more rows pass."""
+    bits = min(26, max(16, (16 * n).bit_length()))
     place = F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1))
     word, bit = F.shiftright(place, 6).cast("int"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")
     bitmap = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -137,8 +154,8 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, least: int = 20, slots: int = 96, width: int = 4):
-        if slots % width or slots % 32:
-            raise ValueError("slots must be a multiple of width and of 32")
+        if slots % width or slots % 32 or width > 6:
+            raise ValueError("slots must be a multiple of width, 6 at most, and of 32")
         self.df, self.id_col, self.text_col, self.words, self.threshold, self.least, self.width, self.slots = df, id_col, text_col, words, threshold, least, width, slots
         self.signed = checkpoint(signatures(df, id_col, text_col, words, least, slots))
         self.members = self.signed.select("cls", "id").distinct()
@@ -150,11 +167,26 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b) of classes that share a block and whose sketches are near enough, a < b."""
-        posted = self.classes("slots").select("cls", F.explode(_blocks(self.slots, self.width)).alias("block"))
+        posted = _posted(self.classes("slots"), self.slots, self.width)
+        # In parts of bounded size, whatever the session shuffles into.
+        parts = max(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.signed.count() * 2 * (self.slots // self.width) // PART))
+        posted = posted.repartition(parts, "block")
         a, b = posted.withColumnRenamed("cls", "a"), posted.withColumnRenamed("cls", "b")
-        pairs = a.join(b, "block").filter("a < b").select("a", "b").distinct()
+        # One class in 64 tells which blocks are crowded; each of those is spread over parts of about CROWD classes.
+        drawn = self.signed.filter(F.pmod(F.xxhash64("cls"), F.lit(64)) == 0).groupBy("cls").agg(F.first("slots").alias("slots"))
+        few = _posted(drawn, self.slots, self.width).groupBy("block").agg((F.count("*") * 64).alias("n"))
+        hot = checkpoint(few.filter(F.col("n") >= CROWD).select("block", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")))
+        if hot.isEmpty():
+            pairs = a.join(b, "block")
+        else:
+            pairs = a.join(hot, "block", "left_anti").join(b, "block").select("a", "b")
+            split = a.join(hot, "block").withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.col("parts")).cast("int"))
+            copied = b.join(hot, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            pairs = pairs.unionByName(split.join(copied, ["block", "part"]).select("a", "b"))
         sketches = self.classes(*self.longs)
-        pairs = pairs.join(sketches.toDF("a", *(f"a{k}" for k in self.longs)), "a").join(sketches.toDF("b", *(f"b{k}" for k in self.longs)), "b")
+        # Both the sketch and the removal of repeats need the pairs by their first class.
+        pairs = pairs.filter("a < b").select("a", "b").join(sketches.toDF("a", *(f"a{k}" for k in self.longs)), "a").dropDuplicates(["a", "b"])
+        pairs = pairs.join(sketches.toDF("b", *(f"b{k}" for k in self.longs)), "b")
         # A slot agrees with probability J, else each of its two bits with 1/2; 3.5 standard deviations are allowed for.
         j = self.threshold
         far = round(self.slots * (1 - j) + 3.5 * (self.slots * ((1 - j) * j + (1 - j) / 2)) ** 0.5)
@@ -162,36 +194,68 @@ class NearDuplicates:
         return pairs.filter(distance <= far).select("a", "b")
 
     def links(self) -> DataFrame:
-        """(a, b, similarity) of the classes whose texts are at least as similar as the threshold."""
+        """(a, b, similarity) of the classes whose texts are at least as similar as the threshold.
+
+        A class leads those of its partners that have no smaller partner; a pair is compared where its smaller class is led. As partners mostly share
+        their leader, a text travels about once however many partners it has. What one class leads is cut into tiles of bounded size.
+        """
         pairs = checkpoint(self.candidates())
-        ids = self.classes()
-        pairs = checkpoint(pairs.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b"))
+        ends = pairs.select(F.col("a").alias("cls"), F.col("a").alias("least")).union(pairs.select(F.col("b"), F.col("a")))
+        leaders = checkpoint(ends.groupBy("cls").agg(F.min("least").alias("leader")))
+        led = pairs.join(leaders.toDF("a", "leader"), "a")
+        taken = led.select("leader", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        tiles = taken.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        place = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.col("tiles")).cast("int")
+        led = led.join(tiles, "leader").select("leader", place("a").alias("x"), place("b").alias("y"), "a", "b")
+        # A pair lies in the tile of its two places; a text goes to the tiles that need it.
+        wanted = led.select("leader", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        ids = checkpoint(self.classes().join(leaders.select("cls"), "cls"))
         texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).filter(F.length("text") >= 2 * self.least - 1)
-        texts = _only(texts, pairs.select(F.explode(F.array("ia", "ib")).alias("id")))
-        # An id may have come with several texts; the best pair of them counts.
-        both = pairs.join(texts.toDF("ia", "ta"), "ia").join(texts.toDF("ib", "tb"), "ib")
+        texts = _only(texts, ids.select("id"), ids.count()).join(ids, "id").select("cls", "text").distinct()  # an id may have come with several texts; the class tells which one is meant
+        none = F.lit(None)
+        sent = wanted.join(texts, "cls").select("leader", "x", "y", F.col("cls").alias("a"), none.cast("bigint").alias("b"), "text")
+        sent = sent.unionByName(led.select("leader", "x", "y", "a", "b", none.cast("string").alias("text")))
+        keys = ["leader", "x", "y"]
+        sent = sent.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first())
         words, least, threshold = self.words, self.least, self.threshold
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingle = _shingler(words)
+            """Rows come by tile, its texts before its pairs; the sets of one tile are kept."""
+            shingle, tile, sets = _shingler(words), None, {}
             for batch in batches:
-                for at in range(0, batch.num_rows, _PIECE):
-                    part = batch.slice(at, _PIECE)
-                    a, b, ta, tb = (c.to_pylist() for c in part.columns)
-                    sets: list[set] = []
-                    distinct = list(dict.fromkeys(ta + tb))
-                    use, x, doc = shingle(distinct, least)
-                    by = {t: frozenset() for t in distinct}
-                    for k, s in zip(use, np.split(x, np.flatnonzero(np.diff(doc)) + 1), strict=True) if len(use) else ():
-                        by[distinct[k]] = frozenset(s.tolist())
-                    sets = [(by[p], by[q]) for p, q in zip(ta, tb, strict=True)]
-                    common = np.array([len(p & q) for p, q in sets], float)
-                    total = np.array([len(p) + len(q) for p, q in sets], float) - common
-                    value = common / np.maximum(total, 1)
-                    keep = np.flatnonzero(value >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64()), pa.array(value[keep])], ["a", "b", "similarity"])
-
-        return both.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+                place = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+                a, b, text = (batch.column(k).to_pylist() for k in range(3, 6))
+                full = [k for k, t in enumerate(text) if t is not None]
+                made: dict[int, frozenset] = {}
+                for n in range(0, len(full), _PIECE):
+                    rows = full[n : n + _PIECE]
+                    use, x, doc = shingle([text[k] for k in rows], least)
+                    for i, found in zip(use, np.split(x, np.flatnonzero(np.diff(doc)) + 1), strict=True) if len(use) else ():
+                        if _class(found) == a[rows[i]]:
+                            made[rows[i]] = frozenset(found.tolist())
+                at = 0
+                while at < len(place):
+                    end = at
+                    while end < len(place) and place[end] == place[at] and (b[end] is None) == (b[at] is None):
+                        end += 1
+                    if place[at] != tile:
+                        tile, sets = place[at], {}
+                    if b[at] is None:
+                        sets.update((a[k], made[k]) for k in range(at, end) if k in made)
+                    else:
+                        out = []
+                        for k in range(at, end):
+                            p, q = sets.get(a[k]), sets.get(b[k])
+                            if p is not None and q is not None:
+                                common = len(p & q)
+                                value = common / (len(p) + len(q) - common)
+                                if value >= threshold:
+                                    out.append((a[k], b[k], value))
+                        cols = list(zip(*out, strict=True)) or [()] * 3
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "similarity"])
+                    at = end
+
+        return sent.mapInArrow(exact, "a bigint, b bigint, similarity double")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all linked pairs of ids, those within a class included."""

@@ -43,6 +43,18 @@ def test_links_equal_brute_force(spark, words, threshold):
     assert found == truth and len(truth) > 10
 
 
+def test_crowded_blocks_and_small_tiles_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(f"c{k:03d}", " ".join(w if rng.random() > 0.03 else f"{w}x{rng.randint(0, 9)}" for w in base)) for k in range(300)] + [(f"d{k}", t) for k, (_, t) in enumerate(_texts(5))]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    whole = sorted(map(tuple, nd.NearDuplicates(df, words=3, threshold=0.5).pairs().collect()))
+    monkeypatch.setattr(nd, "CROWD", 4)
+    monkeypatch.setattr(nd, "TILE", 7)
+    monkeypatch.setattr(nd, "PART", 1_000)
+    assert sorted(map(tuple, nd.NearDuplicates(df, words=3, threshold=0.5).pairs().collect())) == whole and len(whole) > 10_000
+
+
 def test_links_of_hostile_rows(spark):
     long = " ".join(f"x{k}" for k in range(30_000))
     rows = [("a", None), ("b", ""), ("c", "   "), ("d", "few words only"), (None, "w " * 40), ("e", long), ("f", long), ("f", long + " tail")]
