@@ -41,7 +41,7 @@ _MISSING = {"", "und", "unknown"}
 #: What is not running text: code, formulas and markup; blanked out so that offsets stay.
 _NOT_TEXT = re.compile(
     r"(?is)```.*?```|<(pre|code|math|script|style|syntaxhighlight|source)\b.*?</\1>|\\begin\{(verbatim|lstlisting|equation\*?|align\*?|displaymath)\}.*?\\end\{\2\}"
-    r"|\$\$[^$\n]{1,300}\$\$|(?<![\\\w$])\$(?![\d\s$])(?=[^$\n]{0,299}[\\^_=])[^$\n]{1,300}(?<![\s\\])\$(?![\d$])|<!--.*?-->|</?[a-z][^<>]{0,300}>|\\[a-z]+\*?|&#?\w{1,8};|\b(?:https?|ftp)://\S+|\b\S+\.(?:png|jpe?g|gif|html?|txt)\b"
+    r"|\$\$[^$\n]+\$\$|(?<![\\\w$])\$(?![\d\s$])(?=[^$\n]*[\\^_=])[^$\n]+(?<![\s\\])\$(?![\d$])|<!--.*?-->|</?[a-z][^<>]*>|\\[a-z]+\*?|&#?\w{1,8};|\b(?:https?|ftp)://\S+|\b\S+\.(?:png|jpe?g|gif|html?|txt)\b"
 )
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:]+(?=\s)|\n")
 
