@@ -7,6 +7,7 @@ are plain expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -49,28 +50,22 @@ def recursive_split(text: str, size: int = 1000, overlap: int = 200, separators:
     check_sizes(size, overlap)
     if len(text) <= size:
         return [text] if text.strip() else []
-    level = next((k for k, s in enumerate(separators) if s in text), None)
-    if level is None:
+    cut = next((x for x in separators if x in text), None)
+    if cut is None:
         return [w.strip() for w in (text[a : a + size] for a in range(0, len(text), size - overlap)) if w.strip()]
-    pieces = list(_packed(text.split(separators[level]), separators[level], separators[level + 1 :], size, overlap))
-    if not overlap:
-        return pieces
-    return pieces[:1] + [f"{before[-overlap:]} {piece}" for before, piece in zip(pieces, pieces[1:], strict=False)]
-
-
-def _packed(parts: list[str], separator: str, weaker: tuple[str, ...], size: int, overlap: int) -> Iterator[str]:
-    held = ""
-    for part in [*parts, None]:
-        joined = part if not held else f"{held}{separator}{part}"
-        if part is not None and len(joined) <= size:
-            held = joined
-            continue
-        if held.strip():
-            yield held.strip()
-        held = part or ""
-        if len(held) > size:
-            yield from recursive_split(held, size, overlap, weaker)
-            held = ""
+    weaker = separators[separators.index(cut) + 1 :]
+    ends = [m.start() for m in re.finditer(re.escape(cut), text)] + [len(text)]
+    starts = [0, *(e + len(cut) for e in ends[:-1])]
+    pieces, k = [], 0
+    while k < len(ends):
+        begin, last = starts[k], k
+        if ends[k] - begin > size:
+            pieces += recursive_split(text[begin : ends[k]], size, overlap, weaker)
+        elif ends[k] > begin:  # the run of parts that ends last within the size; a run has no empty part in front
+            last = bisect_right(ends, begin + size) - 1
+            pieces += filter(None, [text[begin : ends[last]].strip()])
+        k = last + 1
+    return pieces[:1] + [f"{before[-overlap:]} {piece}" if overlap else piece for before, piece in zip(pieces, pieces[1:], strict=False)]
 
 
 def semantic_split(text: str, embed: Embed, threshold: float = 0.75, least: int = 200, most: int = 2000) -> list[str]:
