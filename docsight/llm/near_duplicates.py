@@ -28,7 +28,7 @@ _PIECE = 512
 _WORDS_KEPT = 500_000
 _SEED = 20_240_117
 #: Classes of a block beyond which it is spread, and of a tile in which texts are compared; blocks posted to one part.
-CROWD, TILE, PART = 1_024, 2_048, 250_000
+CROWD, TILE, PART = 1_024, 2_048, 500_000
 
 
 @lru_cache(maxsize=4)
@@ -211,9 +211,10 @@ class NearDuplicates:
         wanted = led.select("leader", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct()
         ids = checkpoint(self.classes().join(leaders.select("cls"), "cls"))
         texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).filter(F.length("text") >= 2 * self.least - 1)
-        texts = _only(texts, ids.select("id"), ids.count()).join(ids, "id").select("cls", "text").distinct()  # an id may have come with several texts; the class tells which one is meant
+        # Texts are moved by id, repeats removed there, and then to their tiles; an id may have come with several texts, the class tells which one is meant.
+        texts = _only(texts, ids.select("id"), ids.count()).repartition("id").dropDuplicates(["id", "text"])
         none = F.lit(None)
-        sent = wanted.join(texts, "cls").select("leader", "x", "y", F.col("cls").alias("a"), none.cast("bigint").alias("b"), "text")
+        sent = texts.join(wanted.join(ids, "cls"), "id").select("leader", "x", "y", F.col("cls").alias("a"), none.cast("bigint").alias("b"), "text")
         sent = sent.unionByName(led.select("leader", "x", "y", "a", "b", none.cast("string").alias("text")))
         keys = ["leader", "x", "y"]
         sent = sent.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first())
