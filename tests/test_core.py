@@ -17,6 +17,7 @@ from docsight.operators import chunking, dense, embedding, fusion, generate, gra
 from docsight.operators.ranking import positions
 from docsight.plans import catalog
 from docsight.plans.engine import Engine
+from docsight.runtime import scratch
 from docsight.sources import filings, tables
 from docsight.streaming.ingest import event_counts, filing_stream, ingest_stream
 
@@ -287,6 +288,38 @@ def test_registered_walks_follow_every_relation_two_steps(spark, tmp_path):
     assert "company::Beta" in catalog.QUERIES["kg_context"](spark, str(tmp_path)).first()["context"]
 
 
+def _tied_by_hubs(spark, folder, n):
+    """``n`` companies, all of them seeds, that meet in a metric and a section; what a query over them writes below the checkpoint folder, in bytes."""
+    spark.range(n).selectExpr("id AS doc_id", "'Revenue rose.' AS text", "concat('Acme ', id) AS company_name", "'MD&A' AS section", "'a.txt' AS source_file").write.parquet(f"{folder}/documents.parquet")
+    spark.range(n).selectExpr("id * 50 AS filing_id", "concat('Acme ', id) AS company_name").write.parquet(f"{folder}/filings.parquet")
+    shared = Path(scratch(spark, "x").removeprefix("file:")).parent
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+
+    def run(name):
+        before = size()
+        rows = catalog.QUERIES[name](spark, str(folder)).collect()
+        return rows, size() - before
+
+    return run
+
+
+def test_contexts_write_no_walks(spark, tmp_path):
+    rows, written = _tied_by_hubs(spark, tmp_path, 300)("kg_context")
+    assert len(rows) == 300 and {r["context"].count("\n") for r in rows} == {20} and written < 2_000_000
+    first = {r["seed"]: r["context"].split("\n") for r in rows}["company::Acme 7"]
+    assert first[1:4] == ["  - [reports] revenue (type: financial_metric, hops: 1)", "  - [mentioned_in] filing_section::MD&A (type: , hops: 1)", "  - [reports] company::Acme 0 (type: , hops: 2)"]
+
+
+def test_the_first_of_a_walk_are_those_of_the_whole(spark, monkeypatch):
+    edges = spark.range(300).selectExpr("concat('n', id) AS src", "if(id % 3 = 0, 'hub', concat('n', id + 1)) AS dst", "'x' AS relation_type", "named_struct('doc_id', id, 'seq', 0) AS seq")
+    seeds = spark.createDataFrame([("n3",), ("n7",), ("hub",), ("nowhere",)], "node_id string")
+    whole = sorted(graph.walk(seeds, edges, 3).collect())
+    for most in (1, 20, 1000):
+        assert sorted(graph.walk(seeds, edges, 3, most=most).collect()) == [r for r in whole if r["position"] <= most]
+    monkeypatch.setattr(graph, "EDGES", 0)
+    assert sorted(graph.walk(seeds, edges, 3, most=20).collect()) == [r for r in whole if r["position"] <= 20]
+
+
 # Guardrails, metrics, generation
 
 
